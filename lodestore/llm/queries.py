@@ -5,16 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestore.llm import simhash
+from lodestore.llm import mixing, simhash, substring, toxicity
+from lodestore.llm.common import held_out
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grammar = toxicity.learn(docs, labels.where(~held_out("doc_id", 3, 1)).select("doc_id", F.col("toxic").alias("label")))
+    scored = toxicity.score_documents(docs, grammar)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), weights=(1, 2, 3), most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, radius=2)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=13, rejoin=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_mixing_sources": op2_mixing_sources,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
