@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm import mixing, simhash, substring, toxicity
-from lodestore.llm.common import held_out
+from lodestore.llm import decontaminate, iblt, mixing, simhash, substring, tokens, toxicity, warc
+from lodestore.llm.common import held_out, scratch_path
+
+#: Where the public tokenizers' vocabulary files are; a parameter of the queries that need one.
+VOCABULARY = os.environ.get("LODESTORE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +37,35 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    pieces = tokens.read_pieces(Path(vocabulary).read_bytes())
+    return tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), pieces)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(docs, items, rate=0.1)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.archive_round_trip(spark, pages, scratch_path(spark, "warc"), least=0)
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = iblt.fingerprint_versions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing_sources": op2_mixing_sources,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_warc": op9_warc,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
