@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm import decontaminate, iblt, mixing, simhash, substring, tokens, toxicity, warc
+from lodestore.llm import decontaminate, iblt, mixing, simhash, substring, tokens, toxicity, urlfilter, warc
 from lodestore.llm.common import held_out, scratch_path
 
 #: Where the public tokenizers' vocabulary files are; a parameter of the queries that need one.
@@ -32,6 +32,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, radius=2)
 
 
+#: The rules of op3, as (host, path, allow).
+RULES = [urlfilter.Rule(*r) for r in (("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False))]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=13, rejoin=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,6 +69,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing_sources": op2_mixing_sources,
+    "op3_url_filter": op3_url_filter,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
