@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm import decontaminate, iblt, mixing, simhash, substring, tokens, toxicity, urlfilter, warc
+from lodestore.llm import decontaminate, iblt, lm, mixing, simhash, substring, tokens, toxicity, urlfilter, warc
 from lodestore.llm.common import held_out, scratch_path
 
 #: Where the public tokenizers' vocabulary files are; a parameter of the queries that need one.
@@ -28,6 +28,12 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = lm.train(docs.where(~held_out("doc_id", 7, 2)), order=3)
+    return lm.score(docs, plan).withColumn("held_out", held_out("doc_id", 7, 2))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, radius=2)
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing_sources": op2_mixing_sources,
     "op3_url_filter": op3_url_filter,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
