@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import arrow_pass, text_rows
+from lodestore.llm.common import arrow_pass, filter_texts, text_rows
 
 
 def normal(text: bytes) -> str:
@@ -146,14 +146,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block
 
         return docs.select(*text_rows(id_col, text_col)).mapInArrow(arrow_pass(run, schema), "doc_id long, item_id long, distance int, end long")
 
-    out, block, ids, chars = None, [], [], 0
+    out = None
+    for block in blocks(benchmark, block_chars, item_col, item_text_col):
+        found = against([(k, t) for k, (_, t) in enumerate(block)], [i for i, _ in block])
+        out = found if out is None else out.unionAll(found)
+    return against([], []) if out is None else out
+
+
+def blocks(benchmark: DataFrame, block_chars: int, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's items, normalised, streamed to the driver block by block."""
+    block, chars = [], 0
     for row in benchmark.select(F.col(f"`{item_col}`").cast("long"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit(""))).toLocalIterator():
         text = normal(row[1].encode("utf-8", "replace"))
         if block and chars + len(text) > block_chars:
-            out = against(block, ids) if out is None else out.unionAll(against(block, ids))
-            block, ids, chars = [], [], 0
-        block.append((len(ids), text))
-        ids.append(row[0])
+            yield block
+            block, chars = [], 0
+        block.append((row[0], text))
         chars += len(text)
-    last = against(block, ids)
-    return last if out is None else out.unionAll(last)
+    if block:
+        yield block
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000, text_col: str = "text") -> DataFrame:
+    """The documents that hold no item of the benchmark, with all their columns."""
+    for block in blocks(benchmark, block_chars):
+        items = [(k, t) for k, (_, t) in enumerate(block)]
+
+        def make(items: list[tuple[int, str]] = items):
+            matcher = Matcher(items, rate)
+            return lambda text: not matcher.find(normal(text))
+
+        docs = filter_texts(docs, text_col, make)
+    return docs

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,3 +195,75 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, id_col: str =
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "component").select(F.col("fp").alias("p"), "component_id")
     return marks.join(classes, marks.fp == classes.p).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Bits of the wide fingerprint.
+WIDE = 256
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def wide_majority(hashes: np.ndarray) -> bytes:
+    """``WIDE`` bits, of four streams of mixed hashes."""
+    out = []
+    for salt in range(1, WIDE // 64 + 1):
+        x = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        out.append(majority(x ^ (x >> np.uint64(31))).to_bytes(8, "little"))
+    return b"".join(out)
+
+
+def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, radius: int = 7, parts: int = 2, slack: float = 0.03, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(node, keeper, kept_node)``: the group of each distinct text, by the 64-bit
+    hash ``node`` of its bytes: the group's smallest identifier, and the text it has.
+
+    Two texts are linked if their fingerprints of distinct words differ in at most
+    ``radius`` bits, of which covering tables miss none, and their ``WIDE``-bit
+    fingerprints of distinct ``n``-word shingles say that the shingles' Jaccard
+    similarity is at least ``similarity``: of sets with similarity j, whose cosine is
+    2 j / (1 + j), a share arccos(cosine) / pi of the bits is expected to differ, and
+    ``slack`` more of all bits is allowed for chance. A few changed words change few
+    of a text's distinct words, but up to ``n`` shingles each; so the words' narrow
+    radius finds what the shingles then confirm.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        hash64 = xxhash.xxh64_intdigest
+        for b in batches:
+            nodes, fps, wides = [], [], []
+            for t in b["text"]:
+                text = t.as_py()
+                words = text.lower().split()
+                bare = {w.strip(PUNCTUATION) for w in words}
+                nodes.append(signed(hash64(text, 42)))
+                fps.append(signed(majority(np.fromiter((hash64(w, 42) for w in bare), np.uint64, len(bare)))))
+                wides.append(wide_majority(np.unique(shingle_hashes(words, n))))
+            yield {"doc_id": b["doc_id"], "node": nodes, "fp": fps, "wide": wides}
+
+    marks = docs.select(*text_rows(id_col, text_col)).mapInArrow(arrow_pass(run, schema), "doc_id long, node long, fp long, wide binary")
+    points = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("wide").alias("wide"))
+    points = materialise(points, "points")
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi + slack
+    links = covering_links(points.select("node", "fp", "wide"), radius, parts, int(share * WIDE))
+    found = connected_components(links).select(F.col("node").alias("member"), "component")
+    classes = points.join(found, points.node == found.member, "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "node")).alias("first"))
+    return classes.join(first, "component").select("node", F.col("first.least").alias("keeper"), F.col("first.node").alias("kept_node"))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest
+    identifier (null the last), with all its columns.
+
+    Empty and null texts are one group. Of repeated rows of the kept document one
+    stays. An empty table gives an empty result; extra columns pass through.
+    """
+    groups = similar_groups(docs, n, similarity, id_col=id_col, text_col=text_col)
+    kept = materialise(groups.select(F.col("keeper").alias("k"), F.col("kept_node").alias("kn")).distinct(), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    key = F.coalesce(F.col(f"r.`{text_col}`").cast("string"), F.lit(""))
+    rows = rows.select("r", F.col(f"r.`{id_col}`").cast("long").alias("i"), F.xxhash64(key).alias("h"))
+    both = rows.join(kept.hint("merge"), rows.i.eqNullSafe(kept.k) & (rows.h == kept.kn))
+    turn = F.row_number().over(Window.partitionBy("i", "h").orderBy("h"))
+    return both.withColumn("turn", turn).where("turn = 1").select("r.*")

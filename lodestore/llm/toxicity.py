@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import arrow_pass, materialise, text_rows
+from lodestore.llm.common import arrow_pass, filter_texts, materialise, text_rows
 
 # Fixed word lists of the grammar (English); insults in other languages are learned.
 INSULTS = "idiot moron stupid pathetic worthless disgusting scum trash loser clown fool imbecile vermin filth bastard jerk".split()
@@ -257,3 +257,14 @@ def score_documents(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", t
             yield {"doc_id": b["doc_id"], "score": [own.score(t.as_py().decode()) for t in b["text"]]}
 
     return docs.select(*text_rows(id_col, text_col)).mapInArrow(arrow_pass(run, schema), "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The documents that score under ``threshold``, with all their columns."""
+    made = (dict(grammar.weights), grammar.bias, grammar.slope, grammar.gains)
+
+    def make():
+        own = Grammar(*made)
+        return lambda text: own.score(text.decode("utf-8", "replace")) < threshold
+
+    return filter_texts(docs, text_col, make)
