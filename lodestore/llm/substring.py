@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,14 +143,76 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
     return docs.select(*text_rows(id_col, text_col)).where("doc_id is not null").mapInArrow(arrow_pass(run, schema), "doc_id long, mark long")
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, sieve: Broadcast, bits: int) -> DataFrame:
-    """The windows whose fingerprint is shared, by 128 bits of BLAKE2 of their words."""
-    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int32()), ("pos", pa.int32())])
+#: One shared window: 96 bits of BLAKE2 of its words, where it is.
+ENTRY = np.dtype([("hash", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("crc", "<i4"), ("pos", "<i4")])
+#: Entries that a map task gathers before it sends them.
+CHUNK = 1_000_000
+
+
+def pack(entries: np.ndarray) -> bytes:
+    """Entries sorted by hash as compressed columns: differences of the hashes and
+    the other columns, each byte by byte in planes."""
+    columns = [np.diff(entries["hash"], prepend=np.uint64(0)), *(entries[c] for c in ENTRY.names[1:])]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(entries), -1).T.tobytes() for c in columns]
+    return len(entries).to_bytes(4, "little") + zstandard.compress(b"".join(planes), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, raw = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:])
+    out, at = np.empty(n, ENTRY), 0
+    for name in ENTRY.names:
+        size = ENTRY[name].itemsize
+        plane = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+        out[name] = np.ascontiguousarray(plane).view(ENTRY[name]).reshape(n)
+        at += n * size
+    out["hash"] = np.cumsum(out["hash"], dtype=np.uint64)
+    return out
+
+
+def judge(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries by window and document, and which have an earlier document there."""
+    entries = entries[np.lexsort((entries["pos"], entries["doc"], entries["check"], entries["hash"]))]
+    new = np.concatenate([[True], (np.diff(entries["hash"]) != 0) | (np.diff(entries["check"]) != 0)])[: len(entries)]
+    first = entries["doc"][new][np.cumsum(new) - 1]
+    return entries, entries["doc"] > first
+
+
+def by_document(hits: np.ndarray) -> dict:
+    """Hits as rows of a document and its packed offsets."""
+    hits = hits[np.lexsort((hits["pos"], hits["crc"], hits["doc"]))]
+    cut = np.flatnonzero((np.diff(hits["doc"]) != 0) | (np.diff(hits["crc"]) != 0)) + 1
+    begin, end = np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(hits)]]).tolist()
+    return {"doc_id": hits["doc"][begin], "crc": hits["crc"][begin], "at": [hits["pos"][s:e].tobytes() for s, e in zip(begin, end)]}
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, sieve: Broadcast, bits: int, buckets: int) -> DataFrame:
+    """The windows whose fingerprint is shared, packed by hash for a bucket each.
+
+    A task judges its own chunk first: where an earlier document of the chunk has a
+    window, that is a hit already (packed the same way with ``hit`` set), and only the
+    chunk's earliest document goes on. So a window that a third of all documents hold
+    sends one document a chunk, however hot it is.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("hit", pa.bool_()), ("packed", pa.binary())])
+
+    def flush(parts: list[np.ndarray]) -> dict:
+        entries, hit = judge(np.concatenate(parts))
+        out: dict = {"bucket": [], "hit": [], "packed": []}
+        for flag in (False, True):
+            some = entries[hit == flag]
+            of = (some["doc"].astype(np.uint64) if flag else some["hash"]) % np.uint64(buckets)
+            order = np.argsort(of, kind="stable")
+            some, of = some[order], of[order]
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0])[: len(of)])
+            for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(of)]):
+                out["bucket"].append(int(of[s]))
+                out["hit"].append(flag)
+                out["packed"].append(pack(some[s:e]))
+        return out
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        bitmap = sieve.value
+        bitmap, parts, held = sieve.value, [], 0
         for b in batches:
-            cols: list = [[], [], [], []]
             for i, t in zip(b["doc_id"].to_pylist(), b["text"]):
                 text = t.as_py()
                 words = text.split()
@@ -159,28 +223,32 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, sieve: Br
                 line = memoryview(b" ".join(words))
                 ends = np.cumsum([len(w) + 1 for w in words]) - 1
                 begin = np.concatenate([[0], ends[:-1] + 1])[at].tolist()
-                digests = b"".join([hashlib.blake2b(line[s:e], digest_size=16).digest() for s, e in zip(begin, ends[at + window - 1].tolist())])
-                cols[0].append(np.frombuffer(digests, np.int64).reshape(-1, 2))
-                cols[1].append(np.full(at.size, i, np.int64))
-                cols[2].append(np.full(at.size, zlib.crc32(text) - (1 << 31), np.int64).astype(np.int32))
-                cols[3].append(at.astype(np.int32))
-            if cols[0]:
-                both, ids, crc, pos = (np.concatenate(c) for c in cols)
-                yield {"hi": both[:, 0], "lo": both[:, 1], "doc_id": ids, "crc": crc, "pos": pos}
+                digests = b"".join([hashlib.blake2b(line[s:e], digest_size=12).digest() for s, e in zip(begin, ends[at + window - 1].tolist())])
+                mine = np.empty(at.size, ENTRY)
+                both = np.frombuffer(digests, [("hash", "<u8"), ("check", "<u4")])
+                mine["hash"], mine["check"], mine["doc"], mine["pos"] = both["hash"], both["check"], i, at
+                mine["crc"] = zlib.crc32(text) - (1 << 31)
+                parts.append(mine)
+                held += at.size
+                if held >= CHUNK:
+                    yield flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield flush(parts)
 
     rows = docs.select(*text_rows(id_col, text_col)).where("doc_id is not null")
-    return rows.mapInArrow(arrow_pass(run, schema), "hi long, lo long, doc_id long, crc int, pos int")
+    return rows.mapInArrow(arrow_pass(run, schema), "bucket int, hit boolean, packed binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = 13, batches: int = 2, bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, crc, at)``: the documents' windows that also start in a document with
-    a smaller identifier, as word offsets; ``crc`` tells rows of one identifier apart.
+    a smaller identifier, as packed word offsets (32 bits each); ``crc`` tells rows of
+    one identifier apart.
 
     The documents enter the index in ``batches`` by identifier; each batch is
     merge-joined with the runs before it. Marks held by several documents only
-    nominate windows: their words are compared by a 128-bit digest afterwards. The
-    most that meets anywhere is one window's ``min`` (combined map-side) and the
-    offsets of one document.
+    nominate windows: their words are compared by a 96-bit digest afterwards, in
+    buckets of equal digests that get one document a window from each map chunk.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
@@ -197,10 +265,31 @@ def repeated_windows(docs: DataFrame, window: int = 13, batches: int = 2, bits:
         index.keep_compact()
     sieve = _sieve(shared, bits)
     index.drop()
-    rows = _windows(docs, id_col, text_col, window, sieve, bits)
-    first = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hi", "lo", "least")
-    hits = rows.join(first.hint("merge"), ["hi", "lo"]).where("doc_id > least")
-    return hits.groupBy("doc_id", "crc").agg(F.collect_list("pos").alias("at"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = _windows(docs, id_col, text_col, window, sieve, bits, buckets)
+    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("at", pa.binary())])
+
+    def settle(rows: list[np.ndarray], hits: list[np.ndarray]) -> dict:
+        if rows:
+            entries, hit = judge(np.concatenate(rows))
+            hits = [*hits, entries[hit]]
+        return by_document(np.concatenate(hits))
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        at, rows, hits = None, [], []
+        for b in batches:
+            for bucket, hit, data in zip(b["bucket"].to_pylist(), b["hit"].to_pylist(), b["packed"]):
+                if bucket != at and (rows or hits):
+                    yield settle(rows, hits)
+                    rows, hits = [], []
+                at = bucket
+                (hits if hit else rows).append(unpack(data.as_py()))
+        if rows or hits:
+            yield settle(rows, hits)
+
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(arrow_pass(run, schema), "doc_id long, crc int, at binary")
+    return found.groupBy("doc_id", "crc").agg(F.collect_list("at").alias("at"))
 
 
 def removed(n_words: int, at: np.ndarray, window: int) -> np.ndarray:
@@ -239,10 +328,44 @@ def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 2, bits: i
                     n_removed.append(0)
                     kept.append(b" ".join(words) if rejoin else text)
                     continue
-                gone = removed(len(words), at.values.to_numpy().astype(np.int64), window)
+                gone = removed(len(words), np.frombuffer(b"".join(at.as_py()), np.int32), window)
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
             yield {"doc_id": b["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept": kept}
 
     out = both.mapInArrow(arrow_pass(run, schema), "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
+
+
+def strip_repeats(docs: DataFrame, window: int = 13, batches: int = 2, bits: int = 26, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the words that ``substring_dedup`` removes taken out of their
+    texts, and their number of characters put right where a text changed."""
+    hits = repeated_windows(docs, window, batches, bits, id_col, text_col)
+    hits = hits.select(F.col("doc_id").alias("i"), F.col("crc").alias("c"), "at")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    text = F.coalesce(F.col(f"r.`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    key = (F.col(f"r.`{id_col}`").cast("long") == F.col("i")) & ((F.crc32(text) - F.lit(1 << 31)).cast("int") == F.col("c"))
+    both = rows.join(hits.hint("merge"), key, "left").select("r", text.alias("text"), "at")
+    names = docs.columns
+    chars = names.index(chars_col) if chars_col in names else None
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            columns = b.column(0).flatten()
+            texts, sizes = [], []
+            for t, at in zip(b.column(1), b.column(2)):
+                if not at.is_valid:
+                    texts.append(None)
+                    sizes.append(None)
+                    continue
+                words = t.as_py().split()
+                gone = removed(len(words), np.frombuffer(b"".join(at.as_py()), np.int32), window)
+                texts.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "replace"))
+                sizes.append(len(texts[-1]))
+            for place, new in ((names.index(text_col), texts), (chars, sizes)):
+                if place is not None:
+                    own = columns[place]
+                    columns[place] = pc.coalesce(pa.array(new, pa.string() if new is texts else pa.int64()).cast(own.type), own)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(run, docs.schema)
