@@ -111,7 +111,7 @@ class Grammar:
 
     weights: dict[str, float] = field(default_factory=lambda: {w: 5.0 for w in INSULTS})
     bias: float = -4.0
-    slope: float = 2.0
+    slope: float = 3.0
     gains: Gains = Gains()
 
     def __post_init__(self) -> None:
