@@ -85,5 +85,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express; the others are tested against
+#: brute-force versions.
+ORACLE: dict[str, str] = {
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+        first AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN first USING (g), range(13) r(k) WHERE doc_id > d),
+        words AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages),
+        d AS (SELECT page_id, keeper, CAST(strlen(h) AS BIGINT) AS payload_bytes, '0' || lower(sha1(h)) || '00' AS x FROM p)
+        SELECT page_id, payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((((strpos('0123456789abcdef', substr(x, 2 + (5 * i) // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(x, 3 + (5 * i) // 4, 1)) - 1) // (CASE (5 * i) % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END)) % 32 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM d
+    """,
+}
