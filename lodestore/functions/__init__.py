@@ -1,0 +1 @@
+"""Identity rules, limits and scalar functions of the catalogue."""

@@ -1,0 +1 @@
+"""Catalogue, change-log and cache operators over DataFrames."""

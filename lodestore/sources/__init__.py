@@ -1,0 +1 @@
+"""Payload scans, durable files, leases, the on-disk store and its generations."""

@@ -1,0 +1 @@
+"""Streaming faces of the operators."""
