@@ -260,10 +260,12 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
     stays. An empty table gives an empty result; extra columns pass through.
     """
     groups = similar_groups(docs, n, similarity, id_col=id_col, text_col=text_col)
-    kept = materialise(groups.select(F.col("keeper").alias("k"), F.col("kept_node").alias("kn")).distinct(), "kept")
+    # Both sides share one non-null key, so that the join and the window shuffle once.
+    named = lambda c: [F.coalesce(c, F.lit(0)).alias("i"), c.isNull().alias("unnamed")]
+    kept = materialise(groups.select(*named(F.col("keeper")), F.col("kept_node").alias("h")).distinct(), "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    key = F.coalesce(F.col(f"r.`{text_col}`").cast("string"), F.lit(""))
-    rows = rows.select("r", F.col(f"r.`{id_col}`").cast("long").alias("i"), F.xxhash64(key).alias("h"))
-    both = rows.join(kept.hint("merge"), rows.i.eqNullSafe(kept.k) & (rows.h == kept.kn))
-    turn = F.row_number().over(Window.partitionBy("i", "h").orderBy("h"))
-    return both.withColumn("turn", turn).where("turn = 1").select("r.*")
+    text = F.coalesce(F.col(f"r.`{text_col}`").cast("string"), F.lit(""))
+    rows = rows.select("r", *named(F.col(f"r.`{id_col}`").cast("long")), F.xxhash64(text).alias("h"))
+    key = ["i", "unnamed", "h"]
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("h"))
+    return rows.join(kept.hint("merge"), key).withColumn("turn", turn).where("turn = 1").select("r.*")
