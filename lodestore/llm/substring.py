@@ -177,14 +177,6 @@ def judge(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries, entries["doc"] > first
 
 
-def by_document(hits: np.ndarray) -> dict:
-    """Hits as rows of a document and its packed offsets."""
-    hits = hits[np.lexsort((hits["pos"], hits["crc"], hits["doc"]))]
-    cut = np.flatnonzero((np.diff(hits["doc"]) != 0) | (np.diff(hits["crc"]) != 0)) + 1
-    begin, end = np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(hits)]]).tolist()
-    return {"doc_id": hits["doc"][begin], "crc": hits["crc"][begin], "at": [hits["pos"][s:e].tobytes() for s, e in zip(begin, end)]}
-
-
 def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, sieve: Broadcast, bits: int, buckets: int) -> DataFrame:
     """The windows whose fingerprint is shared, packed by hash for a bucket each.
 
@@ -242,8 +234,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, sieve: Br
 
 def repeated_windows(docs: DataFrame, window: int = 13, batches: int = 2, bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, crc, at)``: the documents' windows that also start in a document with
-    a smaller identifier, as packed word offsets (32 bits each); ``crc`` tells rows of
-    one identifier apart.
+    a smaller identifier, as word offsets; ``crc`` tells rows of one identifier apart.
 
     The documents enter the index in ``batches`` by identifier; each batch is
     merge-joined with the runs before it. Marks held by several documents only
@@ -267,13 +258,14 @@ def repeated_windows(docs: DataFrame, window: int = 13, batches: int = 2, bits:
     index.drop()
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = _windows(docs, id_col, text_col, window, sieve, bits, buckets)
-    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("at", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("pos", pa.int32())])
 
     def settle(rows: list[np.ndarray], hits: list[np.ndarray]) -> dict:
         if rows:
             entries, hit = judge(np.concatenate(rows))
             hits = [*hits, entries[hit]]
-        return by_document(np.concatenate(hits))
+        found = np.concatenate(hits)
+        return {"doc_id": found["doc"], "crc": found["crc"], "pos": found["pos"]}
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, rows, hits = None, [], []
@@ -288,8 +280,8 @@ def repeated_windows(docs: DataFrame, window: int = 13, batches: int = 2, bits:
             yield settle(rows, hits)
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(arrow_pass(run, schema), "doc_id long, crc int, at binary")
-    return found.groupBy("doc_id", "crc").agg(F.collect_list("at").alias("at"))
+    found = dealt.mapInArrow(arrow_pass(run, schema), "doc_id long, crc int, pos int")
+    return found.groupBy("doc_id", "crc").agg(F.collect_list("pos").alias("at"))
 
 
 def removed(n_words: int, at: np.ndarray, window: int) -> np.ndarray:
@@ -328,7 +320,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, batches: int = 2, bits: i
                     n_removed.append(0)
                     kept.append(b" ".join(words) if rejoin else text)
                     continue
-                gone = removed(len(words), np.frombuffer(b"".join(at.as_py()), np.int32), window)
+                gone = removed(len(words), at.values.to_numpy(zero_copy_only=False), window)
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
             yield {"doc_id": b["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept": kept}
@@ -359,7 +351,7 @@ def strip_repeats(docs: DataFrame, window: int = 13, batches: int = 2, bits: int
                     sizes.append(None)
                     continue
                 words = t.as_py().split()
-                gone = removed(len(words), np.frombuffer(b"".join(at.as_py()), np.int32), window)
+                gone = removed(len(words), at.values.to_numpy(zero_copy_only=False), window)
                 texts.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "replace"))
                 sizes.append(len(texts[-1]))
             for place, new in ((names.index(text_col), texts), (chars, sizes)):
