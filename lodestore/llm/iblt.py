@@ -37,14 +37,15 @@ def paragraphs(text: bytes) -> list[bytes]:
 
 
 def digests(text: bytes) -> np.ndarray:
-    """A 64-bit digest for each paragraph; the second of two equal ones counts as
-    another, so a repeated paragraph is told from a single one."""
+    """The set of 64-bit digests of the paragraphs; the second of two equal ones counts
+    as another, so a repeated paragraph is told from a single one."""
     seen: dict[bytes, int] = {}
     out = []
     for p in paragraphs(text):
         k = seen[p] = seen.get(p, -1) + 1
-        out.append(xxhash.xxh3_64_intdigest(p, k))
-    return np.array(out, np.uint64)
+        # The number goes into the bytes: as a seed it can undo what differs between short paragraphs.
+        out.append(xxhash.xxh3_64_intdigest(b"%b\n%d" % (p, k) if k else p))
+    return np.unique(np.array(out, np.uint64))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:

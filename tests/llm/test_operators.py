@@ -612,6 +612,14 @@ def test_peeling_recovers_differences():
     assert not done[0]  # too small: the caller tries again with more cells
 
 
+def test_repeated_short_paragraphs_stay_apart():
+    text = b"\n".join(bytes([97 + i % 2, 98, 97 + i % 7]) for i in range(2000))
+    keys = iblt.digests(text)
+    assert len(keys) == 2000
+    only, new = iblt.differing([keys], [keys[:500]], 48)[0]
+    assert sorted(only) == keys[500:].tolist() and not new
+
+
 def test_fingerprint_versions(spark):
     rng = random.Random(9)
     rows = corpus(5, 80, most=300) + [(None, "null id", "s", "e"), (5000, "é🙂x", "s", "e"), (5000, "another", "s", "e")]

@@ -6,6 +6,7 @@ import os
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def test_pipeline(spark):
     for i, r in stripped.items():
         w = single[i].text.encode().split()
         at = [k for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i]
-        gone = substring.removed(len(w), __import__("numpy").array(at, int), 13)
+        gone = substring.removed(len(w), np.array(at, int), 13)
         assert r.text.encode().split() == [x for x, y in zip(w, gone) if not y]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     matcher = decontaminate.Matcher([(k, decontaminate.normal(t.encode())) for k, t in enumerate(items)], 0.1)
