@@ -21,6 +21,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -191,8 +192,13 @@ def quantise(p: np.ndarray, levels: int, lowest: float) -> np.ndarray:
     return np.minimum(code, levels - 1).astype(np.uint8 if levels <= 256 else np.uint16)
 
 
+@cache
+def _values(levels: int, lowest: float) -> np.ndarray:
+    return 10.0 ** (-np.arange(levels) * lowest / (levels - 1))
+
+
 def dequantise(code: np.ndarray, levels: int, lowest: float) -> np.ndarray:
-    return 10.0 ** (-code.astype(np.float64) * lowest / (levels - 1))
+    return _values(levels, lowest)[code]
 
 
 # --------------------------------------------------------------------- files
@@ -603,8 +609,8 @@ def score_chunk(model: Model, lengths: np.ndarray, places: np.ndarray, hashes: n
     all_ids, all_counts = model.identify(hashes)
     ids, counts = all_ids[places], all_counts[places]
     starts = np.cumsum(lengths) - lengths
-    p = (counts + 1) / (plan.total + plan.distinct + 1)
-    base = np.add.reduceat(np.log10(p), starts)
+    each = (all_counts + 1) / (plan.total + plan.distinct + 1)
+    p, base = each[places], np.add.reduceat(np.log10(each)[places], starts)
     end_id = int(model.identify(np.array([END], np.uint64))[0][0])
     context = np.empty_like(ids)
     context[1:] = ids[:-1]
