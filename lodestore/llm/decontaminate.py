@@ -66,17 +66,45 @@ def bit_masks(pattern: str) -> dict[str, int]:
     return dict(masks)
 
 
+def climbs(n: int) -> list[list[tuple[int, int]]]:
+    """For each of ``n`` pieces the ranges of pieces above it, from the narrowest to
+    all, in a tree that halves ranges.
+
+    If a range of p pieces holds at most p - 1 errors, so does one of its halves with
+    its own number of pieces: else the halves' errors added up to p. So from the whole
+    item, of budget + 1 pieces, a chain of such ranges leads down to a piece without
+    an error, and a piece found is worth the next verification only while each range
+    above it stays within its pieces less one.
+    """
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    open_ = [(0, n)]
+    while open_:
+        low, high = open_.pop()
+        if high - low > 1:
+            for i in range(low, high):
+                out[i].insert(0, (low, high))
+            middle = (low + high) // 2
+            open_ += [(low, middle), (middle, high)]
+    return out
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         self.items = {i: t for i, t in items if t}
         self.budget = {i: int(len(t) * rate) for i, t in self.items.items()}
-        self.masks = {i: bit_masks(t) for i, t in self.items.items()}
+        self.cuts: dict[int, list[int]] = {}
+        self.climbs: dict[int, list[list[tuple[int, int]]]] = {}
+        self.masks: dict[tuple[int, int, int], dict[str, int]] = {}
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, t in self.items.items():
-            for at, piece in pieces(t, self.budget[i]):
-                where[piece].append((i, at))
+            parts = pieces(t, self.budget[i])
+            self.cuts[i] = [*(at for at, _ in parts), len(t)]
+            if len(parts) not in self.climbs:
+                self.climbs[len(parts)] = climbs(len(parts))
+            for k, (_, piece) in enumerate(parts):
+                where[piece].append((i, k))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -84,42 +112,46 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not where
 
+    def _distance(self, item: int, low: int, high: int, text: str, begin: int) -> tuple[int, int]:
+        """The least distance of pieces ``low`` to ``high`` to the text near ``begin``,
+        within one error less than pieces, and where that match ends."""
+        cuts, budget = self.cuts[item], high - low - 1
+        pattern = self.items[item][cuts[low] : cuts[high]]
+        key = (item, low, high)
+        masks = self.masks.get(key)
+        if masks is None:
+            masks = self.masks[key] = bit_masks(pattern)
+        start = max(0, begin - budget)
+        got, end = myers(pattern, text[start : max(0, begin + len(pattern) + budget)], budget, masks)
+        return got, start + end
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """``(item, least distance, end)`` of the items that ``text`` holds within budget."""
         if self.empty or not text:
             return []
-        starts: dict[int, set[int]] = defaultdict(set)
-        for end, (size, places) in self.automaton.iter(text):
-            for item, at in places:
-                starts[item].add(end + 1 - size - at)
-        out = []
-        for item, guesses in sorted(starts.items()):
-            pattern, k = self.items[item], self.budget[item]
-            best = (k + 1, -1)
-            for low, high in self._windows(sorted(guesses), len(pattern), k):
-                low = max(0, low)
-                window = text[low:high]
-                at = window.find(pattern)
-                got = (0, at + len(pattern)) if at >= 0 else myers(pattern, window, k, self.masks[item])
-                if got[0] < best[0]:
-                    best = (got[0], low + got[1])
-                if not best[0]:
-                    break
-            if best[0] <= k:
-                out.append((item, *best))
-        return out
-
-    @staticmethod
-    def _windows(guesses: list[int], length: int, k: int) -> Iterator[tuple[int, int]]:
-        """Stretches of text that hold every match near the guessed beginnings."""
-        low, high = guesses[0] - k, guesses[0] + length + k
-        for g in guesses[1:]:
-            if g - k <= high and g + length + k - low <= 8 * length:
-                high = g + length + k
-            else:
-                yield low, high
-                low, high = g - k, g + length + k
-        yield low, high
+        best: dict[int, tuple[int, int]] = {}
+        tried: dict[tuple[int, int, int, int], tuple[int, int]] = {}
+        for last, (size, places) in self.automaton.iter(text):
+            for item, k in places:
+                if item in best and not best[item][0]:
+                    continue
+                cuts, whole = self.cuts[item], self.items[item]
+                at = last + 1 - size - cuts[k]  # where the item begins if nothing was put in or left out
+                if at >= 0 and text.startswith(whole, at):
+                    best[item] = (0, at + len(whole))
+                    continue
+                got = None
+                for low, high in self.climbs[len(cuts) - 1][k]:
+                    key = (item, low, high, at)
+                    got = tried.get(key)
+                    if got is None:
+                        got = tried[key] = self._distance(item, low, high, text, at + cuts[low])
+                    if got[0] > high - low - 1:
+                        got = None
+                        break
+                if got is not None and (item not in best or got[0] < best[item][0]):
+                    best[item] = got
+        return [(item, *best[item]) for item in sorted(best)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -129,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block
     characters is found if a substring of the text is within ``floor(rate * n)``
     edits of it. Cut into one piece more than that, an item within budget has a piece
     that occurs unchanged, which an Aho-Corasick automaton of all pieces finds;
-    Myers' algorithm verifies the stretch around it. The items travel in blocks of at
+    Myers' algorithm verifies the stretches around it, from a few pieces to all. The items travel in blocks of at
     most ``block_chars`` characters, each run against all documents, so what a task
     holds doesn't grow with the benchmark. Null and empty items match nothing, null
     and empty texts hold nothing; null identifiers are kept; repeated documents and
