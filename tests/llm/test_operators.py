@@ -406,6 +406,27 @@ def test_stage_keeps_one_of_each_group(spark):
     assert simhash.drop_near_duplicates(make(spark, [])).count() == 0
 
 
+def shingle_set(text, n=5):
+    w = words_of(text)
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_stage_finds_appended_and_truncated_copies(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(400)]
+        cut = 400 * rng.randint(90, 93) // 100
+        rows += [(2 * g, " ".join(base), "s", "e"), (2 * g + 1, " ".join(base[:cut] if g % 2 else base + [word() for _ in range(400 - cut)]), "s", "e")]
+        assert jaccard(shingle_set(rows[-2][1]), shingle_set(rows[-1][1])) >= 0.88
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(make(spark, rows)).collect()) == list(range(0, 80, 2))
+
+
 # ------------------------------------------------------------------- substring
 
 
