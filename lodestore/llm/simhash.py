@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator
 
@@ -235,38 +234,118 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, DEPTH) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, slack: float = 0.03, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_links(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` whose closure is that of all pairs of a cluster that differ in
+    at most ``LOOSE`` bits and whose shingles' exact Jaccard similarity is at least
+    ``similarity``.
+
+    ``texts`` has ``cluster long``, ``node long``, ``wide binary``, ``text binary`` and
+    ``blocks int``, distinct by node. Block i meets block j in group (i, j), i <= j.
+    """
+    schema = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("blocks", pa.int32()), ("wide", pa.binary()), ("shingles", pa.binary())])
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def shingle(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {k: b[k] for k in ("cluster", "node", "blocks", "wide")} | {"shingles": [np.unique(shingle_hashes(t.as_py().lower().split(), n)).tobytes() for t in b["text"]]}
+
+    def links(held: list) -> dict:
+        node = np.array([x[0] for x in held], np.int64)
+        wide = np.frombuffer(b"".join(x[1] for x in held), np.uint64).reshape(len(held), -1)
+        sets = [np.frombuffer(x[2], np.uint64) for x in held]
+        sizes = np.array([len(x) for x in sets])
+
+        def close(at: int, left: np.ndarray) -> np.ndarray:
+            size, near = sizes[at], sizes[left]
+            hit = (np.minimum(near, size) >= similarity * np.maximum(near, size) - 1e-6) & (np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1) <= LOOSE)
+            if size and hit.any():
+                some = left[hit]
+                flat = np.concatenate([sets[i] for i in some.tolist()])
+                found = sets[at][np.minimum(np.searchsorted(sets[at], flat), size - 1)] == flat
+                shared = np.add.reduceat(found, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+                hit[hit] = shared / (size + sizes[some] - shared) >= similarity
+            return hit
+
+        keep: list = []
+        _forest(node, wide, close, keep)
+        a, b = (np.concatenate(x) for x in zip(*keep)) if keep else (np.empty(0, np.int64),) * 2
+        return {"a": a, "b": b}
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        at, held = None, []
+        for b in batches:
+            for *group, node, wide, shingles in zip(b["cluster"].to_pylist(), b["g"].to_pylist(), b["node"].to_pylist(), b["wide"].to_pylist(), b["shingles"]):
+                if group != at and held:
+                    yield links(held)
+                    held = []
+                at = group
+                held.append((node, wide, shingles.as_py()))
+        if held:
+            yield links(held)
+
+    sets = texts.mapInArrow(arrow_pass(shingle, schema), "cluster long, node long, blocks int, wide binary, shingles binary")
+    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sets.withColumn("mine", mine).withColumn("other", other)
+    dealt = dealt.withColumn("g", F.least("mine", "other") * F.lit(65536).cast("long") + F.greatest("mine", "other"))
+    dealt = dealt.select("cluster", "g", "node", "wide", "shingles").repartition("cluster", "g").sortWithinPartitions("cluster", "g", "node")
+    return dealt.mapInArrow(arrow_pass(run, pairs), "a long, b long")
+
+
+def _named(c: str) -> list:
+    """A non-null key of a nullable identifier."""
+    return [F.coalesce(c, F.lit(0)).alias("i"), F.col(c).isNull().alias("unnamed")]
+
+
+#: Bits of ``WIDE`` in which nominated texts may differ. Of sets with similarity 0.8,
+#: 39 differ on average, 48 at most of small ones (with 6 as standard deviation).
+LOOSE = 80
+#: Shingles of a block of texts that are compared with one another.
+SHINGLES = 2_000_000
+
+
+def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, most: int = SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(node, keeper, kept_node)``: the group of each distinct text, by the 64-bit
     hash ``node`` of its bytes: the group's smallest identifier, and the text it has.
 
-    Two texts are linked if their distinct ``n``-word shingles share a band of MinHash
-    values, and their ``WIDE``-bit fingerprints of these say that the shingles' Jaccard
-    similarity is at least ``similarity``: of sets with similarity j, whose cosine is
-    2 j / (1 + j), a share arccos(cosine) / pi of the bits is expected to differ, and
-    ``slack`` more of all bits is allowed for chance. Covering tables can't nominate
-    here: at similarity 0.8 about 10 and up to 20 of 64 bits differ, and tables for so
+    Two texts are linked if the Jaccard similarity of their distinct ``n``-word
+    shingles is at least ``similarity``, counted on the whole sets of 64-bit hashes
+    (texts without words are alike). To find such pairs, texts that share a band of
+    MinHash values and differ in at most ``LOOSE`` bits of a wide fingerprint are
+    chained to clusters, whose texts are then compared exactly; a cluster of over
+    ``most`` shingles is split into blocks and every pair of blocks compared. The
+    bands are made for a ``similarity`` of 0.8 and more. Covering tables can't
+    nominate here: at 0.8 about 10 and up to 20 of 64 bits differ, and tables for so
     many have keys of too few bits to tell texts apart.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    if similarity < 0.8:
+        raise ValueError("the bands miss pairs of a similarity below 0.8")
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         hash64 = xxhash.xxh64_intdigest
         for b in batches:
-            nodes, wides, bands = [], [], []
+            nodes, wides, bands, sizes = [], [], [], []
             for t in b["text"]:
                 text = t.as_py()
                 shingles = np.unique(shingle_hashes(text.lower().split(), n))
                 nodes.append(signed(hash64(text, 42)))
                 wides.append(wide_majority(shingles))
                 bands.append(band_keys(shingles))
-            yield {"doc_id": b["doc_id"], "node": nodes, "wide": wides, "bands": bands}
+                sizes.append(len(shingles))
+            yield {"doc_id": b["doc_id"], "node": nodes, "wide": wides, "bands": bands, "size": sizes}
 
-    marks = docs.select(*text_rows(id_col, text_col)).mapInArrow(arrow_pass(run, schema), "doc_id long, node long, wide binary, bands array<long>")
-    points = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
+    marks = docs.select(*text_rows(id_col, text_col)).mapInArrow(arrow_pass(run, schema), "doc_id long, node long, wide binary, bands array<long>, size long")
+    points = marks.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("wide", "bands", "size")])
     points = materialise(points, "points")
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi + slack
     entries = points.select("node", F.lit(0).cast("long").alias("fp"), "wide", F.posexplode("bands").alias("t", "key"))
-    links = bucket_links(entries, 0, int(share * WIDE))
+    clusters = connected_components(bucket_links(entries, 0, LOOSE)).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
+    # Only a row that has a text's smallest identifier stands for it, so that copies meet nowhere.
+    members = materialise(clusters.join(points, F.col("member") == points.node).select("cluster", "node", "wide", "size", *_named("least")), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / most).cast("int").alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), text.alias("text")).select("text", F.xxhash64("text").alias("node"), *_named("own"))
+    texts = texts.join(members, ["i", "unnamed", "node"]).dropDuplicates(["i", "unnamed", "node"]).join(blocks, "cluster")
+    links = exact_links(texts.select("cluster", "node", "wide", "blocks", F.col("text").cast("binary").alias("text")), n, similarity)
     found = connected_components(links).select(F.col("node").alias("member"), "component")
     classes = points.join(found, points.node == found.member, "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     first = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "node")).alias("first"))
@@ -282,11 +361,10 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
     """
     groups = similar_groups(docs, n, similarity, id_col=id_col, text_col=text_col)
     # Both sides share one non-null key, so that the join and the window shuffle once.
-    named = lambda c: [F.coalesce(c, F.lit(0)).alias("i"), c.isNull().alias("unnamed")]
-    kept = materialise(groups.select(*named(F.col("keeper")), F.col("kept_node").alias("h")).distinct(), "kept")
+    kept = materialise(groups.select(*_named("keeper"), F.col("kept_node").alias("h")).distinct(), "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
     text = F.coalesce(F.col(f"r.`{text_col}`").cast("string"), F.lit(""))
-    rows = rows.select("r", *named(F.col(f"r.`{id_col}`").cast("long")), F.xxhash64(text).alias("h"))
+    rows = rows.select("r", F.col(f"r.`{id_col}`").cast("long").alias("own"), F.xxhash64(text).alias("h")).select("r", *_named("own"), "h")
     key = ["i", "unnamed", "h"]
     turn = F.row_number().over(Window.partitionBy(*key).orderBy("h"))
     return rows.join(kept.hint("merge"), key).withColumn("turn", turn).where("turn = 1").select("r.*")

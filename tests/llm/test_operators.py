@@ -427,6 +427,36 @@ def test_stage_finds_appended_and_truncated_copies(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(make(spark, rows)).collect()) == list(range(0, 80, 2))
 
 
+@pytest.mark.parametrize("most", [300, simhash.SHINGLES])
+def test_stage_links_by_exact_similarity(spark, most):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = ["", " \n", None, "one", "One", "one two three four five six seven", "one two three four five six", word() + " "]
+    for g in range(40):
+        base = [word() for _ in range(rng.choice([8, 12, 60, 300]))]
+        texts.append(" ".join(base))
+        for k in range(6 if g else 40):
+            w, share = list(base), rng.uniform(0, 0.35)
+            if k % 3 == 0:
+                w += [word() for _ in range(int(len(w) * share))]
+            elif k % 3 == 1:
+                w = w[: max(1, int(len(w) * (1 - share)))]
+            else:
+                for _ in range(int(len(w) * share / 5)):
+                    w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    group = list(range(len(texts)))
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if jaccard(sets[a], sets[b]) >= 0.8]
+    while any(group[a] != group[b] for a, b in pairs):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    assert 20 < len(pairs) and len(set(group)) > 60
+    got = simhash.similar_groups(make(spark, [(i, t, "s", "e") for i, t in enumerate(texts)]), most=most).collect()
+    nodes = {simhash.signed(xxhash.xxh64_intdigest((t or "").encode(), 42)): group[i] for i, t in enumerate(texts)}
+    assert {r.node: r.keeper for r in got} == nodes and len(got) == len(nodes)
+
+
 # ------------------------------------------------------------------- substring
 
 
