@@ -30,7 +30,7 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plan = lm.train(docs.where(~held_out("doc_id", 7, 2)), order=3)
+    plan = lm.train(docs.where(~held_out("doc_id", 7, 2)), order=3, least=1)
     return lm.score(docs, plan).withColumn("held_out", held_out("doc_id", 7, 2))
 
 

@@ -322,6 +322,17 @@ def test_language_model_of_nothing(spark):
     assert lm.score(make(spark, []), plan).count() == 0
 
 
+def test_op4_uses_every_ngram(spark, tmp_path):
+    rows = [(i, t, s, e) for i, t, s, e in corpus(5, 60, vocabulary=25)]
+    make(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = {i: [*words_of(t), None] for i, t, _, _ in rows}
+    p = brute_model([w for i, w in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2], 3, least=1)[3]
+    for r in Q.op4_lm_scoring(spark, str(tmp_path)).collect():
+        w = docs[r.doc_id]
+        s = sum(math.log10(p([None, *w[:k]], x)) for k, x in enumerate(w))
+        assert math.isclose(r.score, s, rel_tol=2e-3, abs_tol=1e-3 * len(w))
+
+
 # --------------------------------------------------------------------- simhash
 
 
