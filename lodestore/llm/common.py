@@ -54,8 +54,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def text_rows(id_col: str, text_col: str, more: tuple[str, ...] = ()) -> list[Column]:
-    """Only the columns an Arrow pass needs; the text as UTF-8 bytes, null as empty."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    """Only the columns an Arrow pass needs; the text as UTF-8 bytes, null as empty, what
+    is no valid UTF-8 replaced by U+FFFD."""
+    text = F.make_valid_utf8(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("binary")
     return [F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), *[F.col(f"`{c}`") for c in more]]
 
 
