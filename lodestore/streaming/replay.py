@@ -28,12 +28,13 @@ def replay_stream(trace: DataFrame, limit: int) -> DataFrame:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cache = Sieve.load(json.loads(state.get[0])) if state.exists else Sieve(limit)
         pdf = pd.concat(list(parts)).sort_values("seq")
-        costs = [None if pd.isna(c) else int(c) for c in pdf["cost"]]
-        out = fold(cache, zip(pdf["shard"].tolist(), pdf["seq"].tolist(), pdf["op"], pdf["key"], costs))
+        out = list(fold(cache, zip(pdf["shard"].tolist(), pdf["seq"].tolist(), pdf["op"], pdf["key"], pdf["cost"].tolist())))
         state.update((json.dumps(cache.dump()),))
         yield pd.DataFrame(out, columns=COLUMNS)
 
-    rows = trace.select(F.col("shard").cast("int"), F.col("seq").cast("long"), "op", "key", F.col("cost").cast("long"))
+    # A null cost counts as 1, and a column without nulls stays whole numbers in pandas.
+    cost = F.coalesce(F.col("cost").cast("long"), F.lit(1).cast("long")).alias("cost")
+    rows = trace.select(F.col("shard").cast("int"), F.col("seq").cast("long"), "op", "key", cost)
     return rows.groupBy("shard").applyInPandasWithState(step, RESULT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
