@@ -1,24 +1,26 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a folder of files in the shared folder, a few for each level:
-
-level 1   vocabulary shards: the words' 64-bit hashes as an Elias-Fano sequence, and
-          their counts
-level n   shards of n-grams: the contexts (nodes of level n-1) that have children
-          here as one Elias-Fano sequence, monotone pointers to their children's
-          ends as another, the children's word identifiers as a third, made monotone
-          by adding what came before; a quantised probability for each child and a
+The model is a folder of files in the shared folder, one a shard and level:
+
+level 1   the words' 64-bit hashes as an Elias-Fano sequence, and their counts
+level n   for the nodes of level n-1 that live in this shard (contexts) monotone
+          pointers to their children's ends as one Elias-Fano sequence; the children's
+          word identifiers as another, made monotone by adding the vocabulary's size
+          once a context before; a quantised probability for each child and a
           quantised back-off weight for each context
 
-A word's children are found by a successor search relative to its context's base.
-Files are memory-mapped, so a worker's own memory doesn't grow with the model.
+A node lives in its parent's shard, a word in that of its hash; the children of the few
+hot contexts are dealt by their own word's shard. A word's children are found by a
+successor search between its context's pointers. Files are memory-mapped, so a worker's
+own memory doesn't grow with the model.
+
+Texts are split into tokens once: training and scoring read packed chunks of them.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -29,7 +31,8 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lodestore.llm.common import arrow_pass, materialise, scratch_path, text_rows
 
@@ -39,8 +42,9 @@ END = xxhash.xxh64_intdigest(b" end", 0)
 LEVELS, LOWEST = 65536, 8.0
 #: Quantised back-off weights.
 WIDE_LEVELS, WIDE_LOWEST = 65536, 6.0
-#: Zeros of the upper bits between two entries of an Elias-Fano directory.
-STRIDE = 32
+#: Ones (zeros) of the upper bits between two entries of an Elias-Fano directory; where
+#: as many lie over more bits than ``FAR``, the directory has the place of each.
+STRIDE, FAR = 32, 512
 MAGIC = 0x4C4F4445
 
 
@@ -51,12 +55,15 @@ class EliasFano:
     """A monotone sequence of 64-bit numbers as bit-packed arrays that may be mapped.
 
     The low bits lie packed; the upper parts in unary, as a bit string in which the
-    i-th one stands at place ``upper(i) + i``. Directories hold where each
-    ``STRIDE``-th one and zero stand, so that a search starts near the right word.
+    i-th one stands at place ``upper(i) + i + 1``; there are two to four times as many
+    upper parts as numbers, so most have one at most. Directories hold where each
+    ``STRIDE``-th one and zero stand, and every one of a stride that is drawn out, so
+    that a search starts near the right word however unevenly the numbers lie.
     """
 
-    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
-        self.head, self.low, self.high, self.ones, self.zeros = head, low, high, ones, zeros
+    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray, all_ones: np.ndarray, zeros: np.ndarray, all_zeros: np.ndarray) -> None:
+        self.head, self.low, self.high = head, low, high
+        self.ones, self.zeros = (ones, all_ones), (zeros, all_zeros)
         self.n, self.bits, self.top = (int(x) for x in head)  # ``top``: the largest upper part
 
     @classmethod
@@ -64,22 +71,22 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         last = int(values[-1]) if n else 0
-        bits = max(0, (last // n).bit_length() - 1) if n else 0
+        bits = max(0, (last // n).bit_length() - 2) if n else 0
         upper, top = values >> np.uint64(bits), last >> bits
-        places = upper + np.arange(n, dtype=np.uint64)
-        high = np.zeros((top + n) // 64 + 2, np.uint64)
+        places = upper + np.arange(1, n + 1, dtype=np.uint64)
+        high = np.zeros((top + n + 1) // 64 + 2, np.uint64)
         np.bitwise_or.at(high, (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63)))
-        # The k-th zero ends upper part k: it stands after the elements up to k.
-        marks = np.arange(0, top + 1, STRIDE, dtype=np.uint64)
-        zeros = np.searchsorted(upper, marks, side="right").astype(np.uint64) + marks
-        return cls(np.array([n, bits, top], np.uint64), _pack_bits(values & np.uint64((1 << bits) - 1), bits), high, places[::STRIDE].copy(), zeros)
+        # Zero k stands before the elements with upper part k, zero 0 at the start.
+        zeros = np.zeros(top + 1, np.int64)
+        zeros[1:] = np.cumsum(np.bincount(upper.astype(np.int64), minlength=top + 1)[:-1]) + np.arange(1, top + 1)
+        return cls(np.array([n, bits, top], np.uint64), _pack_bits(values & np.uint64((1 << bits) - 1), bits), high, *_directory(places.astype(np.int64)), *_directory(zeros))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.head, self.low, self.high, self.ones, self.zeros]
+        return [self.head, self.low, self.high, *self.ones, *self.zeros]
 
     @classmethod
     def mapped(cls, arrays: Iterator[np.ndarray]) -> EliasFano:
-        return cls(*(next(arrays) for _ in range(5)))
+        return cls(*(next(arrays) for _ in range(7)))
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -91,9 +98,15 @@ class EliasFano:
         value[spill] |= self.low[word[spill] + 1] << (np.uint64(64) - shift[spill])
         return value & np.uint64((1 << self.bits) - 1)
 
-    def _place(self, k: np.ndarray, directory: np.ndarray, flip: np.uint64) -> np.ndarray:
-        """Where the k-th one (zero, if ``flip`` has all bits) of the upper bits stands."""
-        place, left = directory[k // STRIDE].astype(np.int64), k % STRIDE
+    def _place(self, k: np.ndarray, directory: tuple[np.ndarray, np.ndarray], flip: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Where the k-th one (zero, if ``flip`` has all bits) of the upper bits stands,
+        and whether its stride is drawn out."""
+        block, left = k >> 5, k & (STRIDE - 1)
+        place = directory[0][block].astype(np.int64)
+        far = place < 0
+        if far.any():
+            place[far] = directory[1][-1 - place[far] + left[far]]
+            left[far] = 0
         word = place >> 6
         some = (self.high[word] ^ flip) & (~np.uint64(0) << (place & 63).astype(np.uint64))
         here = np.bitwise_count(some).astype(np.int64)
@@ -104,7 +117,7 @@ class EliasFano:
             some[move] = self.high[word[move]] ^ flip
             here[move] = np.bitwise_count(some[move])
             move = move[left[move] >= here[move]]
-        return (word << 6) + _select(some, left)
+        return (word << 6) + _select(some, left), far
 
     def _next_zero(self, place: np.ndarray) -> np.ndarray:
         """The first zero of the upper bits at or after each place."""
@@ -119,40 +132,75 @@ class EliasFano:
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The elements at these places."""
-        upper = self._place(at, self.ones, np.uint64(0)) - at
+        upper = self._place(at, self.ones, np.uint64(0))[0] - at - 1
         return (upper.astype(np.uint64) << np.uint64(self.bits)) | self._lows(at)
 
-    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def all(self) -> np.ndarray:
+        """All elements."""
+        places = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
+        return ((places - np.arange(1, self.n + 1)).astype(np.uint64) << np.uint64(self.bits)) | self._lows(np.arange(self.n))
+
+    def successor(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each value the place of the first element at least as large, ``n`` if
-        none is, and whether it is equal."""
-        values = values.astype(np.uint64)
+        none is, and whether it is equal; searched from ``begin`` to before ``end``, if
+        the element, or the place where it would be, is known to lie there."""
+        values = values.astype(np.uint64, copy=False)
         if not self.n:
             return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-        upper = values >> np.uint64(self.bits)
-        beyond = upper > np.uint64(self.top)
-        upper = np.where(beyond, np.uint64(0), upper).astype(np.int64)
-        # The elements with this upper part are the ones between the zero that ends the
-        # part before and the next zero.
-        before = self._place(np.maximum(upper - 1, 0), self.zeros, ~np.uint64(0)) + 1
-        before[upper == 0] = 0
-        a, end = before - upper, self._next_zero(before) - upper
+        upper = (values >> np.uint64(self.bits)).astype(np.int64)
+        beyond = np.flatnonzero((upper > self.top) | (upper < 0))
+        upper[beyond] = 0
+        # The elements with this upper part are the ones between two zeros.
+        a, far = self._place(upper, self.zeros, ~np.uint64(0))
+        a += 1
+        last = self._next_zero(a) if not far.any() else np.empty_like(a)
+        if far.any():
+            near = np.flatnonzero(~far)
+            last[near] = self._next_zero(a[near])
+            high = np.flatnonzero(far & (upper < self.top))
+            last[high] = self._place(upper[high] + 1, self.zeros, ~np.uint64(0))[0]
+            last[far & (upper == self.top)] = self.n + self.top + 1
+        upper += 1
+        a -= upper
+        last -= upper
+        if begin is not None:
+            np.maximum(a, begin, out=a)
+            np.minimum(last, end, out=last)
         low = values & np.uint64((1 << self.bits) - 1)
-        # A binary search among the elements with this upper part, mostly one or two.
-        b = end.copy()
-        open_ = np.flatnonzero(a < b)
+        equal = np.zeros(len(values), bool)
+        # Mostly one element or none; a binary search where the first is too small.
+        some = np.flatnonzero(a < last)
+        mine, sought = self._lows(a[some]), low[some]
+        equal[some] = mine == sought
+        more = some[mine < sought]
+        a[more] += 1
+        open_ = more[a[more] < last[more]]
+        found, b, part = open_, last, last[open_]
         while open_.size:
             mid = (a[open_] + b[open_]) >> 1
             less = self._lows(mid) < low[open_]
             a[open_[less]] = mid[less] + 1
             b[open_[~less]] = mid[~less]
             open_ = open_[a[open_] < b[open_]]
-        equal = np.zeros(len(values), bool)
-        some = np.flatnonzero(a < end)
-        equal[some] = self._lows(a[some]) == low[some]
+        inside = found[a[found] < part]
+        equal[inside] = self._lows(a[inside]) == low[inside]
         a[beyond], equal[beyond] = self.n, False
         return a, equal
 
 
+def _directory(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each ``STRIDE``-th, or ``-1 - i`` where the places of the whole
+    stride stand from ``i`` in the second array."""
+    first = places[::STRIDE].copy()
+    last = places[np.minimum(np.arange(len(first)) * STRIDE + STRIDE - 1, len(places) - 1)] if len(first) else first
+    far = np.flatnonzero(last - first > FAR)
+    at = far[:, None] * STRIDE + np.arange(STRIDE)
+    first[far] = -1 - np.arange(len(far)) * STRIDE
+    if not len(places) or places[-1] < 1 << 31:
+        first = first.astype(np.int32)
+    return first, places[np.minimum(at, len(places) - 1)].reshape(-1) if len(far) else np.empty(0, np.int64)
+
+
 def _pack_bits(values: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
     if bits:
@@ -222,9 +270,13 @@ def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
 
 
 def map_arrays(path: str) -> Iterator[np.ndarray]:
-    """The arrays of a file, memory-mapped; a file of a remote store is first copied
-    to the executor's own disk, once for all its workers."""
-    data = np.memmap(_local(path), np.uint8, "r").view(np.ndarray)
+    """The arrays of a file, memory-mapped; a file of a remote store is read into memory."""
+    store, at_ = fs.FileSystem.from_uri(path)
+    if isinstance(store, fs.LocalFileSystem):
+        data = np.memmap(at_, np.uint8, "r").view(np.ndarray)
+    else:
+        with store.open_input_file(at_) as source:
+            data = np.frombuffer(source.read_buffer(), np.uint8)
     magic, n = data[:16].view(np.int64).tolist()
     if magic != MAGIC:
         raise ValueError(f"no model file: {path}")
@@ -235,20 +287,6 @@ def map_arrays(path: str) -> Iterator[np.ndarray]:
         at += -(-size * dtype.itemsize // 8) * 8
 
 
-def _local(path: str) -> str:
-    store, at = fs.FileSystem.from_uri(path)
-    if isinstance(store, fs.LocalFileSystem):
-        return at
-    copy = os.path.join(tempfile.gettempdir(), "lodestore-" + xxhash.xxh64_hexdigest(path.encode()))
-    if not os.path.exists(copy):
-        beside = f"{copy}.{uuid.uuid4().hex}"
-        with store.open_input_stream(at) as source, open(beside, "wb") as out:
-            while piece := source.read(1 << 22):
-                out.write(piece)
-        os.replace(beside, copy)
-    return copy
-
-
 # ---------------------------------------------------------------------- model
 
 
@@ -268,80 +306,99 @@ class Plan:
         return self.words[-1]
 
 
-def shard_of(context: np.ndarray, word: np.ndarray, contexts: int, words: int, shards: int, hot: np.ndarray) -> np.ndarray:
-    """The shard of an n-gram: by ranges of contexts, and for the few hot contexts by
-    ranges of the word, so that no context fills a shard by itself."""
-    out = context * shards // max(1, contexts)
-    if len(hot):
-        out = np.where(np.isin(context, hot), word * shards // max(1, words), out)
-    return out
+def home(first: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The shard in which a node lives, of the shards' first ones; of any other number some shard."""
+    return np.clip(np.searchsorted(first, node, side="right") - 1, 0, len(first) - 2)
 
 
 def build_vocabulary(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [*EliasFano.of(hashes).arrays(), counts.astype(np.int64)]
 
 
-def build_level(context: np.ndarray, word: np.ndarray, code: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
-    """Arrays of a shard's n-grams, sorted by context and word; ``back`` has a code for
-    each distinct context."""
-    new = np.concatenate([[True], np.diff(context) != 0])[: len(context)]
-    first = np.flatnonzero(new)
-    ends = np.concatenate([first[1:], [len(context)]])[: len(first)]
-    # A context's words follow on the last value of the context before.
-    base = np.concatenate([[0], np.cumsum(word[ends - 1] + 1)[:-1]])[: len(first)] if len(first) else first
-    values = word + base[np.cumsum(new) - 1] if len(first) else word
-    return [*EliasFano.of(context[first]).arrays(), *EliasFano.of(ends).arrays(), *EliasFano.of(values).arrays(), code, back]
+def build_level(hot: np.ndarray, ends: np.ndarray, context: np.ndarray, word: np.ndarray, distinct: int, code: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
+    """Arrays of a shard's n-grams, sorted by context and word: ``context`` is the place
+    among the nodes that live here, hot contexts with children here following; ``ends``
+    and ``back`` have an entry for each of them."""
+    return [hot, *EliasFano.of(ends).arrays(), *EliasFano.of(context * (distinct + 1) + word).arrays(), code, back]
 
 
 class Shard:
-    """A mapped shard of n-grams."""
+    """A mapped shard of n-grams, whose contexts are nodes from ``first`` on."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, first: int, distinct: int) -> None:
         arrays = map_arrays(path)
-        self.contexts, self.ends, self.words = (EliasFano.mapped(arrays) for _ in range(3))
+        self.first, self.wide, self.hot = first, distinct + 1, next(arrays)
+        self.ends, self.words = (EliasFano.mapped(arrays) for _ in range(2))
         self.codes, self.back = next(arrays), next(arrays)
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nodes_of(self, context: np.ndarray, word: np.ndarray, limit: int) -> np.ndarray:
+        """The nodes of many n-grams here (-1: none), whose contexts end before ``limit``
+        or are hot, by decoding all."""
+        here = (context >= self.first) & (context < limit)
+        at = np.where(here, context - self.first, 0)
+        if len(self.hot):
+            place = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+            far = self.hot[place] == context
+            at[far] = (self.ends.n - len(self.hot) + place)[far]
+            here |= far
+        values, asked = self.words.all(), (at * self.wide + word).astype(np.uint64)
+        if not len(values):
+            return np.full(len(context), -1, np.int64)
+        found = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+        return np.where(here & (values[found] == asked), found, -1)
+
+    def find(self, context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each n-gram, sorted by context, its node here (-1: none), the stored part
         of its probability (0 if none), and its context's back-off weight (1 if it has no
         children here). A context's range is looked up once for all its n-grams."""
-        node, part, back = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-        new = np.concatenate([[True], np.diff(context) != 0])[: len(context)]
-        at, known = self.contexts.successor(context[new])
-        owner = np.cumsum(new) - 1
-        some = np.flatnonzero(known[owner])
-        if some.size:
-            at, owner = at[known], (np.cumsum(known) - 1)[owner[some]]
-            back[some] = dequantise(self.back[at], WIDE_LEVELS, WIDE_LOWEST)[owner]
-            end, begin = self.ends.get(at).astype(np.int64), np.zeros(len(at), np.int64)
-            later = np.flatnonzero(at)
-            begin[later] = self.ends.get(at[later] - 1)
-            base = np.zeros(len(at), np.uint64)
-            base[later] = self.words.get(begin[later] - 1) + np.uint64(1)
-            place, equal = self.words.successor(word[some].astype(np.uint64) + base[owner])
-            hit = np.flatnonzero(equal & (place < end[owner]))
-            node[some[hit]] = place[hit]
-            part[some[hit]] = dequantise(self.codes[place[hit]], LEVELS, LOWEST)
-        return node, part, back
+        node, part = np.full(len(context), -1, np.int64), np.zeros(len(context))
+        new = np.concatenate([[True], context[1:] != context[:-1]])[: len(context)]
+        owner, at = np.cumsum(new) - 1, context[new] - self.first
+        begin, end, back = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.ones(len(at))
+        far = np.flatnonzero(hot[new])
+        if far.size:
+            place = np.searchsorted(self.hot, context[new][far])
+            here = np.append(self.hot, -1)[place] == context[new][far]
+            at[far] = np.where(here, self.ends.n - len(self.hot) + place, -1)
+        some = np.flatnonzero(at >= 0)
+        both = self.ends.get(np.concatenate([at[some], np.maximum(at[some] - 1, 0)])).astype(np.int64)
+        end[some], begin[some] = both[: len(some)], np.where(at[some] > 0, both[len(some) :], 0)
+        back[some] = dequantise(self.back[at[some]], WIDE_LEVELS, WIDE_LOWEST)
+        ask = np.flatnonzero((begin < end)[owner])
+        if ask.size:
+            whose = owner[ask]
+            place, equal = self.words.successor(at[whose] * self.wide + word[ask], begin[whose], end[whose])
+            hit = np.flatnonzero(equal)
+            node[ask[hit]] = place[hit]
+            part[ask[hit]] = dequantise(self.codes[place[hit]], LEVELS, LOWEST)
+        return node, part, back[owner]
+
+
+#: Shards of a level that a worker keeps open; of a remote store they lie in its memory.
+OPEN = 64
 
 
 class Model:
     """A mapped model; shards are opened when first asked."""
 
     def __init__(self, plan: Plan) -> None:
-        self.plan, self.shards, self.vocabulary = plan, {}, {}
+        self.plan, self.open = plan, OrderedDict()
+        self.first = [np.array(x, np.int64) for x in (plan.words, *plan.nodes)]
         self.hot = [(np.array(sorted(h), np.int64), np.array([h[k] for k in sorted(h)])) for h in plan.hot]
 
+    def _opened(self, name: str, make):
+        if name not in self.open:
+            self.open[name] = make(f"{self.plan.folder}/{name}")
+            if len(self.open) > OPEN * (1 + len(self.hot)):
+                self.open.popitem(last=False)
+        self.open.move_to_end(name)
+        return self.open[name]
+
     def identify(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The identifiers (-1: unknown) and counts (0) of words by their hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        shard = vocabulary_shard(hashes, self.plan.shards)
-        for s in np.unique(shard).tolist():
-            if s not in self.vocabulary:
-                arrays = map_arrays(f"{self.plan.folder}/words-{s}")
-                self.vocabulary[s] = (EliasFano.mapped(arrays), next(arrays))
-            sequence, known = self.vocabulary[s]
-            mine = np.flatnonzero(shard == s)
+        for s, mine in split(vocabulary_shard(hashes, self.plan.shards)):
+            sequence, known = self._opened(f"words-{s}", lambda path: (EliasFano.mapped(arrays := map_arrays(path)), next(arrays)))
             at, equal = sequence.successor(hashes[mine])
             hit = np.flatnonzero(equal)
             ids[mine[hit]] = at[hit] + self.plan.words[s]
@@ -351,34 +408,36 @@ class Model:
     def find(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As ``Shard.find``, for nodes of the whole level; contexts or words of -1 have none."""
         node, part, back = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-        plan, nodes, (hot, weight) = self.plan, self.plan.nodes[level - 2], self.hot[level - 2]
-        contexts = plan.distinct if level == 2 else plan.nodes[level - 3][-1]
+        plan, parents, nodes, (hot, weight) = self.plan, self.first[level - 2], self.first[level - 1], self.hot[level - 2]
         some = np.flatnonzero(context >= 0)
         if not some.size:
             return node, part, back
         # An unknown word has no node, but its context backs off: ask for one past the last word.
         asked = np.where(word[some] < 0, plan.distinct, word[some])
-        pairs, where = _unique_pairs(context[some], asked)
-        shard = shard_of(pairs[0], np.minimum(pairs[1], plan.distinct - 1), contexts, plan.distinct, plan.shards, hot)
+        pairs, where = unique_pairs(context[some], asked)
+        shard, far = home(parents, pairs[0]), np.zeros(len(pairs[0]), bool)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, pairs[0]), len(hot) - 1)
+            far = hot[at] == pairs[0]
+            shard[far] = home(self.first[0], pairs[1][far])
         got = (np.full(len(pairs[0]), -1, np.int64), np.zeros(len(pairs[0])), np.ones(len(pairs[0])))
         for s, mine in split(shard):
-            if (level, s) not in self.shards:
-                self.shards[level, s] = Shard(f"{plan.folder}/grams-{level}-{s}")
-            n, p, b = self.shards[level, s].find(pairs[0][mine], pairs[1][mine])
-            got[0][mine], got[1][mine], got[2][mine] = np.where(n >= 0, n + nodes[s], -1), p, b
+            opened = self._opened(f"grams-{level}-{s}", lambda path: Shard(path, int(parents[s]), plan.distinct))
+            n, got[1][mine], got[2][mine] = opened.find(pairs[0][mine], pairs[1][mine], far[mine])
+            got[0][mine] = np.where(n >= 0, n + nodes[s], -1)
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, pairs[0]), len(hot) - 1)
-            got[2][:] = np.where(hot[at] == pairs[0], weight[at], got[2])
+            got[2][far] = weight[at[far]]
         node[some], part[some], back[some] = (g[where] for g in got)
         return node, part, back
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
     """The distinct pairs, sorted, and where each pair is among them."""
     wide = int(b.max()) + 1 if len(b) else 1
     if len(a) and (int(a.max()) + 1) * wide < 1 << 63:
         both, where = np.unique(a * wide + b, return_inverse=True)
-        return (both // wide, both % wide), where
+        first = both // wide
+        return (first, both - first * wide), where
     order = np.lexsort((b, a))
     x, y = a[order], b[order]
     new = np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0)])[: len(x)]
@@ -394,9 +453,9 @@ def vocabulary_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 # ---------------------------------------------------------------------- texts
 
 
-def chunks(batches: Iterator[dict], size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[dict], size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Documents in chunks of about ``size`` tokens, six bytes reckoned to each: their
-    identifiers, the numbers of their tokens, each token's place among the chunk's
+    identifiers, whether to learn from them, the numbers of their tokens, each token's place among the chunk's
     distinct ones, and those' hashes. A longer text makes a chunk of its own."""
     hash64 = xxhash.xxh64_intdigest
     for b in batches:
@@ -421,7 +480,8 @@ def chunks(batches: Iterator[dict], size: int) -> Iterator[tuple[list, np.ndarra
             inside[np.cumsum(lengths) - 1] = False
             places[inside] = place
             hashes = np.fromiter((hash64(w, 0) for w in words), np.uint64, len(words))
-            yield b["doc_id"].slice(begin, end - begin).to_pylist(), lengths, places, np.concatenate([np.array([END], np.uint64), hashes])
+            learns = b["learn"].slice(begin, end - begin).to_numpy(zero_copy_only=False).astype(bool)
+            yield b["doc_id"].slice(begin, end - begin).to_pylist(), learns, lengths, places, np.concatenate([np.array([END], np.uint64), hashes])
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -447,9 +507,58 @@ def split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(shard[mine[0]]), mine
 
 
+TOKENS = pa.schema([("ids", pa.list_(pa.int64())), ("n", pa.int64()), ("learn", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("hashes", pa.binary())])
+
+
+def tokenise(docs: DataFrame, learn: Column | None = None, chunk: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts as packed chunks of tokens, a row each, for ``train`` and ``score``;
+    ``learn`` marks the documents to train on (null: not; none given: all).
+
+    Null and empty texts are one end token; invalid UTF-8 is replaced by U+FFFD; null
+    identifiers and repeated rows stay; a text of over ``chunk`` tokens makes a chunk of
+    its own; an empty table gives an empty result; extra columns are ignored.
+    """
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    rows = docs.select(*text_rows(id_col, text_col), learn.alias("learn"))
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for ids, learns, lengths, places, hashes in chunks(batches, chunk):
+            row = {"ids": [ids], "n": [int(lengths[learns].sum())], "learn": [pack([learns])], "lengths": [pack([lengths])]}
+            yield row | {"tokens": [pack([places.astype(np.uint32)])], "hashes": [hashes.tobytes()]}
+
+    return rows.mapInArrow(arrow_pass(run, TOKENS), "ids array<long>, n long, learn binary, lengths binary, tokens binary, hashes binary")
+
+
+#: Tokens that are counted or scored at a time, but for a longer text.
+SLICE = 500_000
+
+
+def unpacked(batches: Iterator[dict], only_learned: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each packed chunk the identifiers, lengths, places and hashes; of those to train on only, if asked."""
+    for b in batches:
+        for i in range(len(b["n"])):
+            lengths, places = unpack(b["lengths"][i].as_py(), ["<i8"])[0], unpack(b["tokens"][i].as_py(), ["<u4"])[0]
+            if only_learned:
+                learns = unpack(b["learn"][i].as_py(), ["?"])[0]
+                if not learns.all():
+                    lengths, places = lengths[learns], places[np.repeat(learns, lengths)]
+                if not len(lengths):
+                    continue
+            yield b["ids"][i].as_py(), lengths, places, np.frombuffer(b["hashes"][i].as_py(), np.uint64)
+
+
+def slices(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of texts of about ``SLICE`` tokens: the first text and the one after the
+    last, and so for their tokens."""
+    ends = np.cumsum(lengths)
+    cut = np.flatnonzero(np.diff((ends - 1) // SLICE)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(lengths)]):
+        yield a, b, int(ends[a] - lengths[a]), int(ends[b - 1])
+
+
 BLOBS = pa.schema([("shard", pa.int32()), ("packed", pa.binary())])
-SUMMARY = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("top", pa.list_(pa.int64())), ("top_counts", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("hot_mass", pa.list_(pa.float64()))])
-SUMMARY_TYPES = "shard int, n long, total long, top array<long>, top_counts array<long>, hot array<long>, hot_mass array<double>"
+SUMMARY = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("top", pa.list_(pa.int64())), ("top_counts", pa.list_(pa.int64())), ("top_words", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("hot_mass", pa.list_(pa.float64()))])
+SUMMARY_TYPES = "shard int, n long, total long, top array<long>, top_counts array<long>, top_words array<long>, hot array<long>, hot_mass array<double>"
 #: The most frequent entries that a shard names; a bound, as at most four in a shard on average are hot.
 TOP = 64
 
@@ -470,35 +579,38 @@ def _reduce(blobs: DataFrame, shards: int, merge) -> list:
         if held:
             yield merge(at, held)
 
-    dealt = blobs.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = blobs.repartitionById(shards, "shard").sortWithinPartitions("shard")
     rows = materialise(dealt.mapInArrow(arrow_pass(run, SUMMARY), SUMMARY_TYPES), "shards").collect()
     return sorted(rows, key=lambda r: r.shard)
 
 
-def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75, shards: int | None = None, chunk: int = 500_000, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Plan:
-    """Count and build a model of ``docs`` in ``folder`` of the shared folder.
+def train(tokens: DataFrame, order: int = 3, least: int = 1, discount: float = 0.75, shards: int | None = None, folder: str | None = None) -> Plan:
+    """Count and build a model of the documents that ``tokenise`` marked, in ``folder``
+    of the shared folder.
 
-    The vocabulary and all counts are those of all texts. An n-gram (n > 1) that
+    The vocabulary and all counts are those of all their texts. An n-gram (n > 1) that
     occurs at least ``least`` times is stored with (c - discount) / c(context); what
     the stored ones leave of a context's mass is its back-off weight, so that
     p(w|h) = stored(h w) + back(h) p(w|h') adds up to 1 over all words and an unknown
     one; single words have (c + 1) / (N + V + 1). A text is read as if the end of
-    another stood before it.
+    another stood before it. No texts give a model without words.
 
     Each level is one pass: tasks count their chunks, send packed sorted counts to
-    the shards, and a task a shard merges them and writes its file. Contexts that
-    hold over a quarter of a shard's share of tokens are split by word. A word is
-    known by 64 bits of its hash: of V words, two share one with probability V^2 / 2^65.
+    the shards, and a task a shard merges them, looks their contexts up among its own
+    nodes and writes its file. Shards grow in number with the tokens (1,250,000 each).
+    Contexts that hold over a quarter of a shard's share of tokens are split by word. A
+    word is known by 64 bits of its hash: of V words, two share one with probability
+    V^2 / 2^65.
     """
-    spark = docs.sparkSession
+    spark = tokens.sparkSession
     folder = folder or scratch_path(spark, "lm")
-    rows = docs.select(*text_rows(id_col, text_col))
+    rows = tokens.select("ids", "n", "learn", "lengths", "tokens", "hashes").where("n > 0")
     if shards is None:
-        shards = max(4, min(4096, -(-docs.count() // 8000)))
+        shards = max(4, -(-(rows.agg(F.sum("n")).first()[0] or 0) // 1_250_000))
 
     def count_words(batches: Iterator[dict]) -> Iterator[dict]:
-        for _, _, places, hashes in chunks(batches, chunk):
-            counts = np.bincount(places, minlength=len(hashes))
+        for _, _, places, hashes in unpacked(batches, True):
+            counts = np.bincount(places.astype(np.int64), minlength=len(hashes))
             used = np.flatnonzero(counts)
             order_ = used[np.argsort(hashes[used])]
             h, c = hashes[order_], counts[order_].astype(np.int64)
@@ -513,16 +625,23 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
         c = np.bincount(where, weights=c).astype(np.int64)
         write_arrays(f"{folder}/words-{shard}", build_vocabulary(h, c))
         top = np.argsort(-c, kind="stable")[:TOP]
-        return {"shard": [shard], "n": [len(h)], "total": [int(c.sum())], "top": [top.tolist()], "top_counts": [c[top].tolist()], "hot": [[]], "hot_mass": [[]]}
+        return {"shard": [shard], "n": [len(h)], "total": [int(c.sum())], "top": [top.tolist()], "top_counts": [c[top].tolist()], "top_words": [[]], "hot": [[]], "hot_mass": [[]]}
 
     found = _reduce(rows.mapInArrow(arrow_pass(count_words, BLOBS), "shard int, packed binary"), shards, merge_words)
     none = np.empty(0, np.uint64)
     words = _with_empty(found, shards, lambda s: write_arrays(f"{folder}/words-{s}", build_vocabulary(none, none)))
-    total = sum(r.total for r in found)
-    plan = Plan(folder, shards, total, words)
+    plan = Plan(folder, shards, sum(r.total for r in found), words)
+    ways: list[dict] = []  # for each level its hot contexts as tuples of words
     for level in range(2, order + 1):
-        hot = _hot(found, words if level == 2 else plan.nodes[-1], total / (4 * shards))
-        found, plan = _train_level(rows, plan, level, least, discount, hot, chunk)
+        first = words if level == 2 else plan.nodes[-1]
+        hot = {}
+        for r in found:
+            for j, (t, c) in enumerate(zip(r.top, r.top_counts)):
+                if c > plan.total / (4 * shards):
+                    node = first[r.shard] + t
+                    hot[node] = (c, tuple(r.top_words[j * (level - 1) : (j + 1) * (level - 1)]) if level > 2 else (node,))
+        ways.append(hot)
+        found, plan = _train_level(rows, plan, level, least, discount, ways)
     return plan
 
 
@@ -537,64 +656,118 @@ def _with_empty(found: list, shards: int, write) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _hot(found: list, first: tuple[int, ...], most: float) -> dict[int, int]:
-    return {first[r.shard] + t: c for r in found for t, c in zip(r.top, r.top_counts) if c > most}
-
-
-def _contexts(model: Model, level: int, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each token's context for an n-gram of ``level``: the node of the ``level - 1``
-    tokens before it, -1 if it is none or the text begins inside it."""
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
-    context[starts] = int(model.identify(np.array([END], np.uint64))[0][0])
-    for k in range(2, level):
-        node = model.find(k, context, ids)[0]
-        context = np.full_like(ids, -1)
-        context[1:] = node[:-1]
-        context[starts] = -1
-    return context
+def _tuple_keys(columns: list[np.ndarray], distinct: int) -> np.ndarray:
+    """A key a tuple of words: without collisions while all tuples are fewer than 2^64."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = out * np.uint64(distinct + 1) + c.astype(np.uint64)
+    return out
 
 
-def _train_level(rows: DataFrame, plan: Plan, level: int, least: int, discount: float, hot: dict[int, int], chunk: int) -> tuple[list, Plan]:
-    contexts = plan.distinct if level == 2 else plan.nodes[-1][-1]
-    hot_ids = np.array(sorted(hot), np.int64)
+def _grams(ids: np.ndarray, starts: np.ndarray, end: int, level: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct ``level``-grams of a chunk, sorted, a column for each word, and
+    their counts. Before each text stands one ``end``; no n-gram reaches further."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[starts] = end
+    tables: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(2, level + 1):
+        some = np.flatnonzero(before >= 0)
+        pairs, where = unique_pairs(before[some], ids[some])
+        tables.append(pairs)
+        if k < level:
+            here = np.full(len(ids), -1, np.int64)
+            here[some] = where
+            before = np.full_like(here, -1)
+            before[1:] = here[:-1]
+            before[starts] = -1
+    at, columns = np.arange(len(tables[-1][0])), []
+    for a, b in reversed(tables):
+        columns.append(b[at])
+        at = a[at]
+    return [at, *reversed(columns)], np.bincount(where, minlength=len(tables[-1][0]))
+
+
+def _train_level(rows: DataFrame, plan: Plan, level: int, least: int, discount: float, ways: list[dict]) -> tuple[list, Plan]:
+    hot = ways[-1]
+    keys = [np.sort(_tuple_keys([np.array(c, np.int64) for c in zip(*(w for _, w in h.values()))], plan.distinct)) if h else np.empty(0, np.uint64) for h in ways]
+    narrow = "<u4" if plan.distinct < 1 << 32 else "<u8"
+    first = np.array(plan.words, np.int64)
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         model = Model(plan)
-        for _, lengths, places, hashes in chunks(batches, chunk):
-            ids = model.identify(hashes)[0][places]
-            starts = np.cumsum(lengths) - lengths
-            context = _contexts(model, level, ids, starts)
-            some = np.flatnonzero(context >= 0)
-            (c, w), where = _unique_pairs(context[some], ids[some])
-            n = np.bincount(where, minlength=len(c)).astype(np.int64) if some.size else np.empty(0, np.int64)
-            out = [(s, pack([np.diff(c[m], prepend=0), w[m], n[m]])) for s, m in split(shard_of(c, w, contexts, plan.distinct, plan.shards, hot_ids))]
-            yield {"shard": [x[0] for x in out], "packed": [x[1] for x in out]}
+        end = int(model.identify(np.array([END], np.uint64))[0][0])
+        for _, lengths, places, hashes in unpacked(batches, True):
+            used = np.zeros(len(hashes), bool)
+            used[places] = True
+            ids = np.full(len(hashes), -1, np.int64)
+            ids[used] = model.identify(hashes[used])[0]
+            for a, b, i, j in slices(lengths):
+                columns, n = _grams(ids[places[i:j]], np.cumsum(lengths[a:b]) - lengths[a:b], end, level)
+                shard = home(first, columns[0])
+                for k, known in enumerate(keys):  # a hot context's children go to their own words' shards
+                    if len(known):
+                        far = np.isin(_tuple_keys(columns[: k + 1], plan.distinct), known)
+                        shard[far] = home(first, columns[k + 1][far])
+                columns = [c.astype(narrow) for c in columns]
+                out = [(s, pack([np.diff(columns[0][m], prepend=columns[0].dtype.type(0)), *(c[m] for c in columns[1:]), n[m].astype("<u4")])) for s, m in split(shard)]
+                yield {"shard": [x[0] for x in out], "packed": [x[1] for x in out]}
 
     def merge(shard: int, blobs: list[bytes]) -> dict:
-        parts = [unpack(x, ["<i8", "<i8", "<i8"]) for x in blobs]
-        (c, w), where = _unique_pairs(np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]))
-        n = np.bincount(where, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
-        new = np.concatenate([[True], np.diff(c) != 0])[: len(c)]
-        owner = np.cumsum(new) - 1
-        own = c[new]
-        sums = np.bincount(owner, weights=n)
-        sums = np.array([hot.get(k, v) for k, v in zip(own.tolist(), sums.tolist())]) if hot else sums
-        keep = n >= least
-        part = (n - discount) / sums[owner]
+        parts = [unpack(x, [narrow] * level + ["<u4"]) for x in blobs]
+        for p in parts:  # in a blob the first words follow by their differences
+            p[0] = np.cumsum(p[0], dtype=np.int64)
+        *columns, n = (np.concatenate([p[i] for p in parts]).astype(np.int64, copy=False) for i in range(level + 1))
+        del parts
+        model, parents = Model(plan), plan.words if level == 2 else plan.nodes[-1]
+        # The context's node, of its distinct values only, a word at a time.
+        node, whose = np.unique(columns[0], return_inverse=True)
+        own = [node]
+        for k in range(2, level):
+            (a, b), whose = unique_pairs(whose, columns[k - 1])
+            own = [*(c[a] for c in own), b]
+            # Nearly all live in this shard, whose n-grams are decoded at once.
+            mine = Shard(f"{plan.folder}/grams-{k}-{shard}", int(model.first[k - 2][shard]), plan.distinct)
+            found = mine.nodes_of(node[a], b, int(model.first[k - 2][shard + 1]))
+            rest = np.flatnonzero(found < 0)
+            node, found = np.where(found >= 0, found + plan.nodes[k - 2][shard], -1), node
+            if rest.size:
+                node[rest] = model.find(k, found[a[rest]], b[rest])[0]
+        far = np.isin(node, np.array(sorted(hot), np.int64))
+        here = np.unique(node[far])
+        lives = parents[shard + 1] - parents[shard]
+        local = np.where(far, lives + np.searchsorted(here, node), node - parents[shard])
+        local[node < 0] = -1  # a context that was not stored has no children
+        of = local[whose]
+        if (local < 0).any():
+            keep = of >= 0
+            of, whose, n, columns = of[keep], whose[keep], n[keep], [c[keep] for c in columns]
+        (c, w), where = unique_pairs(of, columns[-1])
+        n = np.bincount(where, weights=n, minlength=len(c)).astype(np.int64)
+        size = lives + len(here)
+        sums = np.bincount(c, weights=n, minlength=size)
+        sums[lives:] = [hot[k][0] for k in here.tolist()]
+        part = (n - discount) / sums[c]
+        kept = n >= least
+        c, w, n, part = c[kept], w[kept], n[kept], part[kept]
         code = quantise(part, LEVELS, LOWEST)
-        mass = np.bincount(owner, weights=np.where(keep, dequantise(code, LEVELS, LOWEST), 0), minlength=len(own))
-        kept = np.bincount(owner, weights=keep, minlength=len(own)) > 0
-        back = quantise(1 - mass[kept], WIDE_LEVELS, WIDE_LOWEST)
-        write_arrays(f"{plan.folder}/grams-{level}-{shard}", build_level(c[keep], w[keep], code[keep], back))
-        counts = n[keep]
-        top = np.argsort(-counts, kind="stable")[:TOP]
-        far = [(k, float(m)) for k, m in zip(own.tolist(), mass.tolist()) if k in hot]
-        return {"shard": [shard], "n": [len(counts)], "total": [int(n.sum())], "top": [top.tolist()], "top_counts": [counts[top].tolist()], "hot": [[k for k, _ in far]], "hot_mass": [[m for _, m in far]]}
+        mass = np.bincount(c, weights=dequantise(code, LEVELS, LOWEST), minlength=size)
+        ends = np.cumsum(np.bincount(c, minlength=size))
+        write_arrays(f"{plan.folder}/grams-{level}-{shard}", build_level(here, ends, c, w, plan.distinct, code, quantise(1 - mass, WIDE_LEVELS, WIDE_LOWEST)))
+        top = np.argpartition(-n, TOP)[:TOP] if len(n) > TOP else np.arange(len(n))
+        top = top[np.argsort(-n[top], kind="stable")]
+        back = np.full(size, -1, np.int64)
+        back[local[local >= 0]] = np.flatnonzero(local >= 0)
+        named = np.stack([*(x[back[c[top]]] for x in own), w[top]], axis=1).reshape(-1).tolist()
+        return {"shard": [shard], "n": [len(n)], "total": [int(n.sum())], "top": [top.tolist()], "top_counts": [n[top].tolist()], "top_words": [named], "hot": [here.tolist()], "hot_mass": [mass[lives:].tolist()]}
+
+    def write_empty(shard: int) -> None:
+        parents, none = plan.words if level == 2 else plan.nodes[-1], np.empty(0, np.int64)
+        lives = parents[shard + 1] - parents[shard]
+        write_arrays(f"{plan.folder}/grams-{level}-{shard}", build_level(none, np.zeros(lives, np.int64), none, none, plan.distinct, none.astype(np.uint16), np.zeros(lives, np.uint16)))
 
     found = _reduce(rows.mapInArrow(arrow_pass(count, BLOBS), "shard int, packed binary"), plan.shards, merge)
-    none = np.empty(0, np.int64)
-    nodes = _with_empty(found, plan.shards, lambda s: write_arrays(f"{plan.folder}/grams-{level}-{s}", build_level(none, none, none.astype(np.uint16), none.astype(np.uint16))))
+    nodes = _with_empty(found, plan.shards, write_empty)
     mass = dict.fromkeys(hot, 0.0)
     for r in found:
         for k, m in zip(r.hot, r.hot_mass):
@@ -603,40 +776,42 @@ def _train_level(rows: DataFrame, plan: Plan, level: int, least: int, discount:
     return found, after
 
 
-def score_chunk(model: Model, lengths: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Known tokens, base score and model score of each text of a chunk."""
+def score_chunk(model: Model, lengths: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Known tokens, base score and model score of the texts of a chunk, slice by slice."""
     plan = model.plan
     all_ids, all_counts = model.identify(hashes)
-    ids, counts = all_ids[places], all_counts[places]
-    starts = np.cumsum(lengths) - lengths
     each = (all_counts + 1) / (plan.total + plan.distinct + 1)
-    p, base = each[places], np.add.reduceat(np.log10(each)[places], starts)
+    logs = np.log10(each)
     end_id = int(model.identify(np.array([END], np.uint64))[0][0])
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
-    context[starts] = end_id
-    for level in range(2, 2 + len(plan.nodes)):
-        node, part, back = model.find(level, context, ids)
-        p = part + back * p
-        context = np.full_like(ids, -1)
-        context[1:] = node[:-1]
-        context[starts] = -1
-    return np.add.reduceat((counts > 0).astype(np.int64), starts), base, np.add.reduceat(np.log10(p), starts)
-
-
-def score(docs: DataFrame, plan: Plan, chunk: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every whole text.
+    for a, b, i, j in slices(lengths):
+        mine, starts = places[i:j], np.cumsum(lengths[a:b]) - lengths[a:b]
+        ids, p = all_ids[mine], each[mine]
+        context = np.empty_like(ids)
+        context[1:] = ids[:-1]
+        context[starts] = end_id
+        for level in range(2, 2 + len(plan.nodes)):
+            node, part, back = model.find(level, context, ids)
+            p = part + back * p
+            context = np.full_like(ids, -1)
+            context[1:] = node[:-1]
+            context[starts] = -1
+        yield np.add.reduceat((ids >= 0).astype(np.int64), starts), np.add.reduceat(logs[mine], starts), np.add.reduceat(np.log10(p), starts)
+
+
+def score(tokens: DataFrame, plan: Plan) -> DataFrame:
+    """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every whole
+    text that ``tokenise`` packed, learned from or not.
 
     Null and empty texts are one end token; null identifiers and repeated rows stay;
     a model of no texts gives every token the same probability; an empty table gives
-    an empty result; extra columns are ignored.
+    an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         model = Model(plan)
-        for ids, lengths, places, hashes in chunks(batches, chunk):
-            known, base, own = score_chunk(model, lengths, places, hashes)
+        for ids, lengths, places, hashes in unpacked(batches, False):
+            known, base, own = (np.concatenate(x) for x in zip(*score_chunk(model, lengths, places, hashes)))
             yield {"doc_id": ids, "n_tokens": lengths, "n_known": known, "train_tokens": np.full(len(ids), plan.total), "base_score": base, "score": own}
 
-    return docs.select(*text_rows(id_col, text_col)).mapInArrow(arrow_pass(run, schema), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return tokens.select("ids", "n", "learn", "lengths", "tokens", "hashes").mapInArrow(arrow_pass(run, schema), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

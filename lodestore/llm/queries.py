@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import decontaminate, iblt, lm, mixing, simhash, substring, tokens, toxicity, urlfilter, warc
-from lodestore.llm.common import held_out, scratch_path
+from lodestore.llm.common import held_out, materialise, scratch_path
 
 #: Where the public tokenizers' vocabulary files are; a parameter of the queries that need one.
 VOCABULARY = os.environ.get("LODESTORE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
@@ -30,8 +30,8 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plan = lm.train(docs.where(~held_out("doc_id", 7, 2)), order=3, least=1)
-    return lm.score(docs, plan).withColumn("held_out", held_out("doc_id", 7, 2))
+    tokens = materialise(lm.tokenise(docs, learn=~held_out("doc_id", 7, 2)), "tokens")
+    return lm.score(tokens, lm.train(tokens, order=3)).withColumn("held_out", held_out("doc_id", 7, 2))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,7 +238,7 @@ def test_elias_fano(n, top):
     rng = np.random.default_rng(n)
     v = np.sort(rng.integers(0, top, n, dtype=np.uint64))
     e = lm.EliasFano.of(v)
-    assert (e.get(np.arange(n)) == v).all()
+    assert (e.get(np.arange(n)) == v).all() and (e.all() == v).all()
     q = np.concatenate([v, rng.integers(0, top + top // 3 + 2, 500, dtype=np.uint64)])
     at, equal = e.successor(q)
     assert (at == np.searchsorted(v, q)).all() and (equal == np.isin(q, v)).all()
@@ -274,15 +274,16 @@ def brute_model(training, order, least=2, discount=0.75):
     return counts[1], total, distinct, p
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_language_model(spark, order):
+@pytest.mark.parametrize(("order", "least"), [(1, 1), (2, 2), (3, 1), (3, 2), (4, 1)])
+def test_language_model(spark, order, least):
     rows = corpus(order, 150, vocabulary=25) + [(None, "a b", "s", "e")]
     df = make(spark, rows)
-    plan = lm.train(df.where(~held_out("doc_id", 7, 2)), order=order, shards=3, chunk=400)
-    got = lm.score(df, plan, chunk=300).collect()
+    tokens = lm.tokenise(df, learn=~held_out("doc_id", 7, 2), chunk=400)
+    plan = lm.train(tokens, order=order, shards=3, least=least)
+    got = lm.score(tokens, plan).collect()
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     docs = {(i, t): [*words_of(t), None] for i, t, _, _ in rows}
-    counts, total, distinct, p = brute_model([w for (i, _), w in docs.items() if not out(i)], order)
+    counts, total, distinct, p = brute_model([w for (i, _), w in docs.items() if not out(i)], order, least)
     want = {}
     for (i, _), w in docs.items():
         s, b, h = 0.0, 0.0, [None]
@@ -304,10 +305,11 @@ def test_language_model_splits_hot_contexts(spark):
     rng = random.Random(1)
     texts = [" ".join(x for _ in range(40) for x in ("hot", rng.choice("abcdefghij"))) for _ in range(40)]
     df = make(spark, [(i, t, "s", "e") for i, t in enumerate(texts)])
-    plan = lm.train(df, order=3, shards=6)
-    assert plan.hot[0]
-    _, _, _, p = brute_model([[*words_of(t), None] for t in texts], 3)
-    for r in lm.score(df, plan).collect():
+    tokens = lm.tokenise(df, chunk=200)
+    plan = lm.train(tokens, order=3, shards=20)
+    assert plan.hot[0] and plan.hot[1]
+    _, _, _, p = brute_model([[*words_of(t), None] for t in texts], 3, least=1)
+    for r in lm.score(tokens, plan).collect():
         s, h = 0.0, [None]
         for x in [*words_of(texts[r.doc_id]), None]:
             s += math.log10(p(h, x))
@@ -316,10 +318,41 @@ def test_language_model_splits_hot_contexts(spark):
 
 
 def test_language_model_of_nothing(spark):
-    plan = lm.train(make(spark, []), order=2, shards=2)
-    got = lm.score(make(spark, [(1, "a b", "s", "e"), (2, None, "s", "e")]), plan).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in got) == [(1, 3, 0, 0.0), (2, 1, 0, 0.0)]
-    assert lm.score(make(spark, []), plan).count() == 0
+    plan = lm.train(lm.tokenise(make(spark, [])), order=3, shards=2)
+    some = make(spark, [(1, "a b", "s", "e"), (2, None, "s", "e"), (2, None, "s", "e")])
+    got = lm.score(lm.tokenise(some), plan).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in got) == [(1, 3, 0, 0.0), (2, 1, 0, 0.0), (2, 1, 0, 0.0)]
+    assert lm.score(lm.tokenise(make(spark, [])), plan).count() == 0
+
+
+def test_language_model_of_odd_texts(spark):
+    """Invalid UTF-8, clashing column names, and a text of many chunks' size."""
+    long = " ".join(f"w{i % 7000}" for i in range(60_000))
+    rows = [(1, "a \ufffd b", 1.0, 2), (2, long, 1.0, 2), (3, long, 1.0, 2)]
+    df = make(spark, rows, "doc_id long, text string, score double, n_tokens int")
+    odd = df.withColumn("text", F.expr("if(doc_id = 1, cast(X'6120FF2062' as string), text)"))
+    scores = []
+    for x in (df, odd):
+        tokens = lm.tokenise(x, chunk=1000)
+        scores.append(sorted(lm.score(tokens, lm.train(tokens, shards=3)).collect()))
+    assert scores[0] == scores[1] and [r.n_tokens for r in scores[0]] == [4, 60_001, 60_001]
+    assert scores[0][1].score == scores[0][2].score
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_elias_fano_of_uneven_numbers(seed):
+    """Long runs of neighbours among wide gaps: directories with drawn out strides."""
+    rng = np.random.default_rng(seed)
+    v = np.unique(np.concatenate([np.arange(5000) + 10**9, rng.integers(0, 10**12, 3000), np.arange(0, 40_000, 2) + 10**11])).astype(np.uint64)
+    e = lm.EliasFano.of(v)
+    assert len(e.zeros[1])
+    q = np.sort(np.concatenate([v, v + np.uint64(1), rng.integers(0, 10**12 + 10**11, 3000).astype(np.uint64)]))
+    at, equal = e.successor(q)
+    want = np.searchsorted(v, q)
+    assert (at == want).all() and (equal == np.isin(q, v)).all() and (e.get(np.arange(len(v))) == v).all()
+    begin, end = np.maximum(want - rng.integers(0, 9, len(q)), 0), np.minimum(want + rng.integers(1, 9, len(q)), len(v))
+    at, equal = e.successor(q, begin, end)
+    assert (at == want)[want < len(v)].all() and (equal == np.isin(q, v)).all()
 
 
 def test_op4_uses_every_ngram(spark, tmp_path):
