@@ -1,7 +1,14 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests."""
+"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
+
+A fingerprint is a sketch of ``CELLS`` cells in base64. Two of them subtract, and if few
+enough digests differ the difference peels: both sides' digests come back from the two
+strings alone (``compare_printed``). A difference that doesn't peel is tried again with
+larger sketches of the same texts.
+"""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 from collections.abc import Iterator
@@ -12,9 +19,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import arrow_pass
+from lodestore.llm.common import arrow_pass, text_rows
 
 HASHES = 3
+#: Cells of a fingerprint: about 30 differing digests are recovered from it.
+CELLS = 48
 #: Words that end a paragraph are those whose hash is 0 modulo this; so paragraphs of
 #: running text are cut by content, and an edit moves no cut but its neighbours.
 CUT = 8
@@ -119,87 +128,157 @@ def peel(difference: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return done, np.concatenate([empty, *rows]), np.concatenate([empty.astype(np.uint64), *found]), np.concatenate([empty, *signs])
 
 
-def differing(first: list[np.ndarray], second: list[np.ndarray], cells: int) -> list[tuple[list[int], list[int]]]:
-    """For each pair of sets the digests only in the first and only in the second.
+def estimated(difference: np.ndarray) -> np.ndarray:
+    """About how many digests differ, of subtracted sketches: each adds 1 to or takes 1
+    from the counts of ``HASHES`` cells, so their variance tells."""
+    count = difference["count"].astype(np.float64)
+    return np.maximum(count.var(axis=1), np.abs(count.mean(axis=1))) * count.shape[1] / HASHES
+
+
+def differing(first: list[np.ndarray], second: list[np.ndarray], cells: int = CELLS) -> list[tuple[list[int], list[int], int]]:
+    """For each pair of sets the digests only in the first and only in the second, and
+    with how many cells they were recovered.
 
     Sketches of ``cells`` cells are subtracted and peeled; pairs whose difference
-    doesn't peel are tried again with twice the cells, until all have.
+    doesn't peel are tried again with twice the cells, from as many on as the first
+    sketches' counts suggest. A pair that doesn't peel with eight times as many cells
+    as digests (equal keys by chance) is compared as sets: 0 cells.
     """
-    out: list[tuple[list[int], list[int]]] = [([], []) for _ in first]
-    todo = np.arange(len(first))
-    while todo.size:
-        a, b = ([x[i] for i in todo] for x in (first, second))
-        done, row, key, sign = peel(subtract(sketch(a, cells), sketch(b, cells)))
-        for r, k, s in zip(row.tolist(), key.tolist(), sign.tolist()):
-            if done[r]:
-                out[todo[r]][s < 0].append(k)
-        todo = todo[~done]
-        cells *= 2
+    out: list[tuple[list[int], list[int], int]] = [([], [], cells) for _ in first]
+    sizes = np.array([len(a) + len(b) for a, b in zip(first, second)], np.int64)
+    todo: dict[int, np.ndarray] = {cells: np.arange(len(first))} if first else {}
+    while todo:
+        now = min(todo)
+        mine = todo.pop(now)
+        a, b = ([x[i] for i in mine] for x in (first, second))
+        apart = subtract(sketch(a, now), sketch(b, now))
+        small = np.ones(len(mine), bool)
+        if now == cells:  # far too many differ: don't try to peel
+            guess = 1.4 * estimated(apart)
+            small = guess <= 2 * now
+        done = np.zeros(len(mine), bool)
+        done[small], row, key, sign = peel(apart[small])
+        where = mine[small]
+        for i in mine[done].tolist():
+            out[i] = ([], [], now)
+        for r, k, s in zip(where[row].tolist(), key.tolist(), sign.tolist()):
+            out[r][s < 0].append(k)
+        for i in mine[~done].tolist():
+            out[i] = ([], [], 0)
+        later = np.full(len(mine), 2 * now)
+        if now == cells:
+            later = np.maximum(later, now << np.ceil(np.log2(np.maximum(guess, now) / now)).astype(np.int64))
+        whole = ~done & (later > 8 * np.maximum(sizes[mine], cells))
+        for i in mine[whole].tolist():
+            out[i] = (np.setdiff1d(first[i], second[i]).tolist(), np.setdiff1d(second[i], first[i]).tolist(), 0)
+        again = ~done & ~whole
+        for size in np.unique(later[again]).tolist():
+            todo[size] = np.concatenate([todo.get(size, mine[:0]), mine[again & (later == size)]])
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray, changed: tuple[list[int], list[int]]) -> float:
+def likeness(n_first: int, n_second: int, changed: int) -> float:
     """One less the share of both sets' digests that differ; 1 for two empty sets."""
-    both = len(a) + len(b)
-    return 1 - (len(changed[0]) + len(changed[1])) / both if both else 1.0
+    both = n_first + n_second
+    return 1 - changed / both if both else 1.0
+
+
+def printed(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
+    """The sketches as text: the number of digests and the cells' columns, in base64."""
+    return [base64.b64encode(len(keys).to_bytes(4, "little") + b"".join(np.ascontiguousarray(row[c]).tobytes() for c in CELL.names)).decode() for keys, row in zip(sets, sketch(sets, cells))]
+
 
+def read_printed(text: str) -> tuple[int, np.ndarray]:
+    """The number of digests and the sketch of a fingerprint."""
+    raw = base64.b64decode(text)
+    cells = (len(raw) - 4) // CELL.itemsize
+    row, at = np.empty(cells, CELL), 4
+    for c in CELL.names:
+        row[c] = np.frombuffer(raw, CELL[c], cells, at)
+        at += cells * CELL[c].itemsize
+    return int.from_bytes(raw[:4], "little"), row
 
-def printed(sets: list[np.ndarray], cells: int) -> list[str]:
-    """Names of fixed length of the sketches: the number of digests, and 256 bits of
-    the cells."""
-    return [f"{len(keys):08x}" + hashlib.blake2b(row.tobytes(), digest_size=32).hexdigest() for keys, row in zip(sets, sketch(sets, cells))]
 
+def compare_printed(first: str, second: str) -> tuple[list[int], list[int], float] | None:
+    """From two fingerprints alone the digests only in either text and their likeness;
+    nothing if too many differ: then print both texts with more cells."""
+    (n, a), (m, b) = read_printed(first), read_printed(second)
+    done, _, key, sign = peel(subtract(a[None], b[None]))
+    if not done[0]:
+        return None
+    gone, new = key[sign > 0].tolist(), key[sign < 0].tolist()
+    return gone, new, likeness(n, m, len(gone) + len(new))
 
-def _above(cuts: list[int], key: Column) -> Column:
+
+def _above(cuts: list[tuple[int, int]], key: Column) -> Column:
     """How many of the sorted ``cuts`` are at or above ``key``, by a search in two steps."""
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts)) + 1
-    coarse, fine = (F.array(*[F.lit(c) for c in x]) for x in (cuts[step - 1 :: step], cuts))
+    coarse, fine = (F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(h).cast("long").alias("h")) for i, h in x]) for x in (cuts[step - 1 :: step] or cuts[-1:], cuts))
     whole = F.size(F.filter(coarse, lambda c: c < key)) * step
     below = whole + F.size(F.filter(F.slice(fine, whole + 1, step), lambda c: c < key))
-    return F.lit(len(cuts)) - below
+    return F.lit(len(cuts)) - F.least(below, F.lit(len(cuts)))
 
 
-def fingerprint_versions(docs: DataFrame, cells: int = 48, per_task: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cuts(rows: DataFrame, per_task: int) -> list[tuple[int, int]]:
+    """Borders of the order key that part the rows into tasks: quantiles of the
+    identifiers, and for identifiers with more rows than a task's, even steps of the
+    texts' hashes. At most 20,000, whatever the table's size: a task streams its part, so
+    a longer one takes time, not memory."""
+    total = rows.count()
+    parts = max(1, min(-(-total // per_task), 20_000))
+    if parts == 1:
+        return []
+    per_task = -(-total // parts)
+    marks = rows.agg(F.percentile_approx("at.i", [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    cuts = {(i, (1 << 63) - 1) for i in marks}
+    for r in rows.groupBy("at.i").count().where(F.col("count") > 2 * per_task).collect():  # fewer than parts / 2
+        n = -(-r["count"] // per_task)
+        cuts |= {(r.i, -(1 << 63) + (1 << 64) * k // n) for k in range(n)}
+    return sorted(cuts)
+
+
+def fingerprint_versions(docs: DataFrame, cells: int = CELLS, per_task: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's sketch beside that of its edited version and of the next one.
 
     ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, n_paragraphs, n_changed)``; the next document is the one before in the
-    order of identifiers (equal ones by the hash of their text, null the smallest),
-    and after the last the first. The edited text is the text with its last
-    ``n_chars // 2`` characters replaced by as many of the next one's first.
-
-    The texts are shuffled once, by ranges of identifiers whose borders are quantiles
-    of the column; a task streams its range in order and keeps one text, as the text
-    after a range's last comes along as an extra row. Null texts are empty, two empty
-    texts are alike; an empty table gives an empty result; a single document is its
-    own next; extra columns are ignored.
+    near_next, n_paragraphs, gone, new, cells_edited, cells_next)``: ``gone`` and ``new``
+    are the recovered digests that only the text and only the edited text have;
+    ``cells_edited`` and ``cells_next`` the sizes of sketch with which the two
+    differences peeled (0: compared as sets). Where that is ``cells``,
+    ``compare_printed`` gives the same from the strings.
+
+    The next document is the one before in the order of identifiers (equal ones by the
+    hash of their text, null the smallest), and after the last the first. The edited
+    text is the text with its last ``n_chars // 2`` characters replaced by as many of
+    the next one's first.
+
+    The texts are shuffled once, by ranges of (identifier, hash); a task streams its
+    range in order and keeps one text, as the text after a range's last comes along as
+    an extra row. Null texts are empty, two empty texts are alike; invalid UTF-8 is
+    replaced by U+FFFD; a long text's digests are held by one task at a time; repeated
+    rows are each other's next; an empty table gives an empty result; a single document
+    is its own next; extra columns are ignored.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(*text_rows(id_col, text_col)).withColumn("text", F.col("text").cast("string"))
     rows = rows.withColumn("at", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("i"), F.xxhash64("text").alias("h")))
-    # Cuts are values of the order key, as many as tasks: bounded, and never a key's whole group when texts differ.
-    total = rows.count()
-    parts = max(1, min(-(-total // per_task), 20_000))
-    if not total:
-        parts = 1
-    key = F.col("at.i")
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    rows = rows.withColumn("part", _above(cuts, key))  # part 0 holds the largest identifiers
+    cuts = _cuts(rows, per_task)
+    parts = len(cuts) + 1
+    rows = rows.withColumn("part", _above(cuts, F.col("at")))  # part 0 holds the largest identifiers
     heads = {r.part: (r.head.i, r.head.h) for r in rows.groupBy("part").agg(F.max("at").alias("head")).collect()}
     order = sorted(heads)
     extra = [Row(i=heads[nxt][0], h=heads[nxt][1], to=p) for p, nxt in zip(order, [*order[1:], *order[:1]])]
     ghosts = spark.createDataFrame(extra, "i long, h long, to int") if extra else None
     real = rows.select("part", "at", F.lit(0).alias("ghost"), "doc_id", "text")
     if ghosts is not None:
-        g = F.broadcast(ghosts)  # one row a part, at most 20,000
+        g = F.broadcast(ghosts)  # one row a part: their number is bounded
         copies = rows.join(g, (F.col("at.i") == g.i) & (F.col("at.h") == g.h)).groupBy("to", "at", "doc_id", "text").count()
         real = real.unionAll(copies.select(F.col("to").alias("part"), "at", F.lit(1).alias("ghost"), "doc_id", "text"))
-    real = real.repartition(parts, "part").sortWithinPartitions("part", "ghost", F.desc("at"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_paragraphs", pa.int64()), ("n_changed", pa.int64())])
+    real = real.repartitionById(parts, "part").sortWithinPartitions("part", "ghost", F.desc("at"))
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_paragraphs", pa.int64()), ("gone", longs), ("new", longs), ("cells_edited", pa.int64()), ("cells_next", pa.int64())])
 
     def compare(rows: list[tuple]) -> dict:
         """Of ``(doc_id, text, digests, next text, next digests)``."""
@@ -212,10 +291,13 @@ def fingerprint_versions(docs: DataFrame, cells: int = 48, per_task: int = 4_000
             "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
             "fingerprint": printed(mine, cells),
             "edited_fingerprint": printed(new, cells),
-            "near_edited": [likeness(*x) for x in zip(mine, new, changed)],
-            "near_next": [likeness(*x) for x in zip(mine, theirs, apart)],
+            "near_edited": [likeness(len(a), len(b), len(x[0]) + len(x[1])) for a, b, x in zip(mine, new, changed)],
+            "near_next": [likeness(len(a), len(b), len(x[0]) + len(x[1])) for a, b, x in zip(mine, theirs, apart)],
             "n_paragraphs": [len(x) for x in mine],
-            "n_changed": [len(a) + len(b) for a, b in changed],
+            "gone": [np.array(x[0], np.uint64).view(np.int64) for x in changed],
+            "new": [np.array(x[1], np.uint64).view(np.int64) for x in changed],
+            "cells_edited": [x[2] for x in changed],
+            "cells_next": [x[2] for x in apart],
         }
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -234,5 +316,5 @@ def fingerprint_versions(docs: DataFrame, cells: int = 48, per_task: int = 4_000
         if pairs:
             yield compare(pairs)
 
-    types = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long, n_changed long"
+    types = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long, gone array<long>, new array<long>, cells_edited long, cells_next long"
     return real.select("part", "ghost", "doc_id", "text").mapInArrow(arrow_pass(run, schema), types)

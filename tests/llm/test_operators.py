@@ -701,7 +701,7 @@ def test_peeling_recovers_differences():
             first.append(np.concatenate([common, a]))
             second.append(np.concatenate([common, b]))
     got = iblt.differing(first, second, 48)
-    for a, b, (x, y) in zip(first, second, got):
+    for a, b, (x, y, _) in zip(first, second, got):
         assert set(x) == set(a.tolist()) - set(b.tolist()) and set(y) == set(b.tolist()) - set(a.tolist())
     done, *_ = iblt.peel(iblt.subtract(iblt.sketch([first[-1]], 48), iblt.sketch([second[-1]], 48)))
     assert not done[0]  # too small: the caller tries again with more cells
@@ -711,7 +711,7 @@ def test_repeated_short_paragraphs_stay_apart():
     text = b"\n".join(bytes([97 + i % 2, 98, 97 + i % 7]) for i in range(2000))
     keys = iblt.digests(text)
     assert len(keys) == 2000
-    only, new = iblt.differing([keys], [keys[:500]], 48)[0]
+    only, new, _ = iblt.differing([keys], [keys[:500]], 48)[0]
     assert sorted(only) == keys[500:].tolist() and not new
 
 
@@ -723,7 +723,7 @@ def test_fingerprint_versions(spark):
     h = {t: r.h for t, r in ((r.t, r) for r in spark.createDataFrame([((r[1] or ""),) for r in rows], "t string").selectExpr("t", "xxhash64(t) h").collect())}
     order = sorted(rows, key=lambda r: (key(r), h[r[1] or ""]), reverse=True)
     by = {(r.doc_id, r.edited_sha256): r for r in got}
-    prints = {}
+    prints, subtracted = {}, Counter()
     assert len(got) == len(rows)
     for k, (i, t, _, _) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
@@ -736,6 +736,42 @@ def test_fingerprint_versions(spark):
         assert math.isclose(r.near_edited, share(mine, new)) and math.isclose(r.near_next, share(mine, nxt))
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
         assert (r.edited_fingerprint == r.fingerprint) == (mine == new)
+        bits = lambda x: {k - (1 << 64) if k >> 63 else k for k in x}
+        assert set(r.gone) == bits(mine - new) and set(r.new) == bits(new - mine)
+        subtracted[r.cells_edited == 48] += 1
+        if r.cells_edited == 48:
+            assert iblt.compare_printed(r.fingerprint, r.edited_fingerprint)[2] == r.near_edited
+        theirs = iblt.printed([iblt.digests(after.encode())])[0]
+        if r.cells_next == 48:
+            assert iblt.compare_printed(r.fingerprint, theirs)[2] == r.near_next
+        else:
+            wide = [iblt.printed([iblt.digests(x.encode())], r.cells_next)[0] for x in (t, after)]
+            assert iblt.compare_printed(r.fingerprint, theirs) is None and iblt.compare_printed(*wide)[2] == r.near_next
+    assert min(subtracted.values()) > 5
     assert iblt.fingerprint_versions(make(spark, [])).count() == 0
     (one,) = iblt.fingerprint_versions(make(spark, [(1, "abcd", "s", "e")])).collect()
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1.0
+
+
+def test_fingerprints_split_a_hot_identifier(spark):
+    """A third of all rows without identifier, and rows that repeat, go to several tasks."""
+    rows = [(None, f"text {i} of nobody", "s", "e") for i in range(300)] + [(i, "same", "s", "e") for i in range(300)] + [(7, "twice", "s", "e")] * 2
+    df = make(spark, rows)
+    got = iblt.fingerprint_versions(df, per_task=20)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 60
+    key = spark.createDataFrame([(i, t) for i, t, *_ in rows], "i long, t string").selectExpr("coalesce(i, -9223372036854775808) i", "xxhash64(t) h", "t").collect()
+    order = sorted(key, reverse=True)
+    want = Counter()
+    for k, r in enumerate(order):
+        after = order[(k + 1) % len(order)].t
+        want[None if r.i == -(1 << 63) else r.i, hashlib.sha256((r.t[: len(r.t) - len(r.t) // 2] + after[: len(r.t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == want
+
+
+def test_fingerprints_of_odd_rows(spark):
+    df = make(spark, [(1, "a b c", 5, 6), (2, "d", 5, 6)], "doc_id long, text string, part int, at int")
+    odd = df.withColumn("text", F.expr("if(doc_id = 1, cast(X'6120FF2062' as string), text)"))
+    assert {r.doc_id: r.n_chars for r in iblt.fingerprint_versions(odd).collect()} == {1: 5, 2: 1}
+    broken = [np.array([5, 5], np.uint64)], [np.array([6], np.uint64)]  # no set: such a difference never peels
+    assert iblt.differing(*broken)[0] == ([5], [6], 0)
