@@ -660,9 +660,13 @@ def test_warc_chunks(spark, tmp_path):
         path = str(tmp_path / f"x{plain}.warc")
         with store.open_output_stream(path + ".gz", compression=None) as out:
             writer = warc.Writer(out)
-            writer.response(1, "http://a/", payload)
-            writer.response(2, "http://b/", b"")
-            writer.revisit(3, "http://c/", hashlib.sha1(payload).digest(), 1)
+            writer.response(b"1" * 16, 1, "http://a/", sha(payload), len(payload))
+            with pytest.raises(ValueError, match="lacks 100000"):
+                writer.response(b"2" * 16, 2, "http://b/", sha(b""), 0)
+            for at in range(0, len(payload), 30_000):
+                writer.add(payload[at : at + 30_000])
+            writer.response(b"2" * 16, 2, "http://b/", sha(b""), 0)
+            writer.revisit(b"3" * 16, 3, "http://c/", sha(payload), b"1" * 16, 1)
         if plain:
             import gzip
 
@@ -678,6 +682,21 @@ def test_warc_chunks(spark, tmp_path):
         list(list(p) for _, p in warc.Reader(fs.LocalFileSystem().open_input_stream(_cut(path, tmp_path))).records())
 
 
+def test_warc_of_long_rows(spark):
+    """A 2 MiB url that grows when escaped, a payload of many chunks, clashing names,
+    repeated rows: all records have names of their own and come back whole."""
+    big = spark.range(1).select(F.lit(8).cast("long").alias("page_id"), F.expr("repeat(' ü', 1 << 20)").alias("url"), F.expr("repeat('0123456789abcdef', 1 << 19)").alias("html"))
+    some = make(spark, [(5, "u", "same"), (5, "u", "same"), (4, "u", "same"), (4, "u", "same"), (None, "u", "same"), (None, "u", "same"), (5, "v", "other")], "page_id long, url string, html string")
+    pages = big.unionAll(some).withColumn("payload", F.lit(1)).withColumn("key", F.lit(2)).withColumn("size", F.lit(3)).withColumn("at", F.lit(4))
+    chunks = warc.chunk_table(spark, pages, scratch_path(spark, "test-warc"))
+    names = chunks.groupBy("record_id").agg(F.max("payload_bytes").alias("n"), F.count("*").alias("chunks")).collect()
+    assert len(names) == 8 and max((r.n, r.chunks) for r in names) == (16 << 19, 8)
+    whole = chunks.where("page_id = 8").orderBy("chunk_no").collect()
+    assert b"".join(bytes(r.data) for r in whole) == b"0123456789abcdef" * (1 << 19)
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_records(chunks).collect())
+    assert got == Counter({(8, "response", None): 1, (5, "response", None): 3, (4, "revisit", 5): 2, (None, "response", None): 2})
+
+
 def _cut(path, tmp_path):
     data = Path(path + ".gz").read_bytes()
     (tmp_path / "cut").write_bytes(data[: len(data) // 2])
