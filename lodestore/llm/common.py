@@ -72,15 +72,15 @@ def arrow_pass(fn: Callable[[Iterator[dict]], Iterator[dict]], schema: pa.Schema
 
 
 def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[bytes], bool]]) -> DataFrame:
-    """The rows of ``docs`` whose whole text (UTF-8, null as empty) a task's ``make()``
-    accepts; all columns stay as they are and nothing is shuffled."""
+    """The rows of ``docs`` whose whole text (UTF-8, null as empty, what is not valid
+    replaced by U+FFFD) a task's ``make()`` accepts; all columns stay as they are and nothing is shuffled."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for b in batches:
-            texts = (t.as_py() for t in b.column(at))
-            yield b.filter(pa.array([keep((t or "").encode("utf-8", "replace")) for t in texts], pa.bool_()))
+            texts = (t.as_py() for t in b.column(at).cast(pa.binary()))
+            yield b.filter(pa.array([keep((t or b"").decode("utf-8", "replace").encode()) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

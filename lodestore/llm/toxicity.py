@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Each token is first read as one symbol of a small alphabet (insult, threat verb,
-future or wish marker, target, negation, reporting verb, quotation mark, other).
-A clause then runs through the composition of five transducers:
+future or wish marker, target, negation, reporting verb, opening and closing quotation
+mark, other) and a lexical weight. A clause then runs through the composition of five
+transducers:
 
 reported   marks what follows a reporting verb or stands inside quotation marks
 negation   marks what follows a negation within three tokens
 target     remembers whether the clause addresses or names somebody
-threat     recognises marker ... threat verb, complete when a target is seen
-insult     adds the weight of each insult, less if marked by the others
+threat     recognises marker ... threat verb ... target
+insult     adds the weight of each weighted word, less if marked by the others
 
+A quotation goes on over the clauses of its line until its closing mark; a mark without
+a partner in its line is none. A colon after a reporting verb doesn't end the clause.
 What the composition accepts is a clause with a weight; a document's score is a
 logistic function of its clauses' weights, fitted on labelled rows together with
-the insult lexicon's learned part.
+the insult lexicon's learned part. Learned words keep their grammatical symbols.
 """
 
 from __future__ import annotations
@@ -38,11 +41,14 @@ TARGETS = "you your yours yourself he she him her they them their people he's sh
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't didn't won't cannot can't".split()
 REPORTS = "said says say wrote writes called calls claimed claims quoted quotes told reported according".split()
 
-INSULT, THREAT, MARKER, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(8)
+INSULT, THREAT, MARKER, TARGET, NEGATION, REPORT, OPEN, CLOSE, OTHER = range(9)
 SYMBOLS = {w: s for s, words in ((THREAT, THREAT_VERBS), (MARKER, MARKERS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+#: The marks that close what a mark opened.
+CLOSERS = {'"': '"', "“": "”\"", "„": "“”\"", "”": "”", "«": "»", "»": "«"}
 
-CLAUSE_END = re.compile(r"[.!?;:|\n\r。！？]+")
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”«»]")
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Words, quotation marks, line ends, colons and other ends of clauses.
+PART = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»]|[\n\r]|:|[.!?;|。！？]")
 PREFIXES = (3, 4, 5, 6)
 NEGATION_SPAN = 3
 
@@ -60,8 +66,8 @@ class Gains:
 
 def _reported(state: int, symbol: int) -> tuple[int, bool]:
     """States: 0 direct, 1 after a reporting verb, 2 in quotation marks, 3 both."""
-    if symbol == QUOTE:
-        return state ^ 2, False
+    if symbol in (OPEN, CLOSE):
+        return (state | 2 if symbol == OPEN else state & 1), False
     return (state | 1 if symbol == REPORT else state), state > 0
 
 
@@ -75,36 +81,62 @@ def _target(state: int, symbol: int) -> int:
 
 
 def _threat(state: int, symbol: int) -> int:
-    """0 nothing, 1 a marker seen, 2 a threat verb after it."""
+    """0 nothing, 1 a marker seen, 2 a threat verb after it, 3 a target after that."""
+    if state == 2 and symbol == TARGET:
+        return 3
     return max(state, 1 if symbol == MARKER else 2 if symbol == THREAT and state else 0)
 
 
 def compose(gains: Gains) -> tuple[dict, dict]:
-    """The composed machine over its reachable states.
+    """The composed machine over its reachable states, of the start states of a clause
+    outside and inside a quotation.
 
-    ``arcs[state, symbol] = (next, factor)``: ``factor`` times the symbol's lexical
+    ``arcs[state, symbol] = (next, factor)``: ``factor`` times the token's lexical
     weight is added; ``finals[state] = (factor, bonus)``: what the clause's sum is
-    multiplied by, and what a completed threat adds.
+    multiplied by, and what a completed threat adds, less if its verb was marked.
     """
-    start = (0, 0, 0, 0, 1.0)
-    arcs, finals, open_ = {}, {}, [start]
+    arcs, finals, open_ = {}, {}, [_start(False), _start(True)]
     while open_:
         state = open_.pop()
         if state in finals:
             continue
         rep, neg, tar, thr, strength = state
-        finals[state] = (gains.targeted if tar else 1.0, gains.threat * strength if thr == 2 and tar else 0.0)
-        for symbol in range(8):
+        finals[state] = (gains.targeted if tar else 1.0, gains.threat * strength if thr == 3 else 0.0)
+        for symbol in range(9):
             rep2, is_reported = _reported(rep, symbol)
             neg2, is_negated = _negation(neg, symbol)
             factor = (gains.reported if is_reported else 1.0) * (gains.negated if is_negated else 1.0)
             thr2 = _threat(thr, symbol)
             after = (rep2, neg2, _target(tar, symbol), thr2, factor if thr2 == 2 and thr < 2 else strength)
-            arcs[state, symbol] = (after, factor if symbol == INSULT else 0.0)
+            arcs[state, symbol] = (after, factor)
             open_.append(after)
     return arcs, finals
 
 
+def _start(quoted: bool) -> tuple:
+    return (2 if quoted else 0, 0, 0, 0, 1.0)
+
+
+def quotations(parts: list[str]) -> dict[int, int]:
+    """Which parts open and close a quotation: a mark opens one if a mark that closes it
+    follows in its line; others inside it are none."""
+    out: dict[int, int] = {}
+    line: list[int] = []
+    for i, part in enumerate([*parts, "\n"]):
+        if part in CLOSERS:
+            line.append(i)
+        elif part in "\n\r" and line:
+            k = 0
+            while k < len(line):
+                close = next((j for j in range(k + 1, len(line)) if parts[line[j]] in CLOSERS[parts[line[k]]]), None)
+                if close is not None:
+                    out[line[k]], out[line[close]] = OPEN, CLOSE
+                    k = close
+                k += 1
+            line = []
+    return out
+
+
 @dataclass
 class Grammar:
     """The lexicon's weights, by whole word or by ``prefix*``, and the fitted logistic."""
@@ -125,26 +157,32 @@ class Grammar:
             if len(self._known) > 100_000:
                 self._known.clear()
             weight = max([self.weights.get(word, 0.0), *(self.weights.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) > k)])
-            symbol = QUOTE if not word[0].isalpha() else INSULT if weight > 0 else SYMBOLS.get(word.replace("’", "'"), OTHER)
+            symbol = SYMBOLS.get(word.replace("’", "'"), INSULT if weight > 0 else OTHER)
             got = self._known[word] = (symbol, weight)
         return got
 
     def clauses(self, text: str) -> list[float]:
         """The weights of the clauses that the grammar accepts with a weight above 0."""
-        text = text.lower()
-        if not any(self.read(w)[0] in (INSULT, THREAT) for w in set(TOKEN.findall(text))):
+        parts = PART.findall(text.lower())
+        if not any(weight > 0 or symbol == THREAT for symbol, weight in map(self.read, {w for w in set(parts) if w[0].isalpha()})):
             return []
-        found = []
-        start = (0, 0, 0, 0, 1.0)
-        for clause in CLAUSE_END.split(text):
-            state, total = start, 0.0
-            for word in TOKEN.findall(clause):
-                symbol, weight = self.read(word)
-                state, factor = self.arcs[state, symbol]
-                total += factor * weight
-            factor, bonus = self.finals[state]
-            if total * factor + bonus > 0:
-                found.append(total * factor + bonus)
+        marks = quotations(parts) if not CLOSERS.keys().isdisjoint(parts) else {}
+        found, state, total = [], _start(False), 0.0
+        arcs, known, read = self.arcs, self._known, self.read
+        for i, part in enumerate([*parts, "\n"]):
+            if part[0].isalpha():
+                symbol, weight = known.get(part) or read(part)
+                state, factor = arcs[state, symbol]
+                if weight:
+                    total += factor * weight
+            elif part in CLOSERS:
+                if i in marks:
+                    state = arcs[state, marks[i]][0]
+            elif part != ":" or not state[0] & 1:  # the end of a clause
+                factor, bonus = self.finals[state]
+                if total * factor + bonus > 0:
+                    found.append(total * factor + bonus)
+                state, total = _start(state[0] & 2 and part not in "\n\r"), 0.0
         return found
 
     def feature(self, text: str) -> float:
@@ -157,7 +195,7 @@ class Grammar:
 
 def terms(text: str) -> set[str]:
     """The words of a text and their proper prefixes, as lexicon keys."""
-    words = {w for w in TOKEN.findall(text.lower()) if w[0].isalpha()}
+    words = set(TOKEN.findall(text.lower()))
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
 
 
@@ -245,9 +283,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.0
 
 
 def score_documents(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score)`` of every whole text. Null and empty texts have no clause and
-    get the score of none; null identifiers and repeated rows stay as they are; an
-    empty table gives an empty result; extra columns are ignored."""
+    """``(doc_id, score)`` of every whole text, however long; clauses of equal weight
+    count alike. Null and empty texts have no clause and get the score of none; null
+    identifiers and repeated rows stay as they are; invalid UTF-8 is replaced by U+FFFD;
+    an empty table gives an empty result; extra columns are ignored."""
     made = (dict(grammar.weights), grammar.bias, grammar.slope, grammar.gains)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -260,7 +299,8 @@ def score_documents(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The documents that score under ``threshold``, with all their columns."""
+    """The documents that score under ``threshold``, with all their columns and values as
+    they are; texts are read as ``score_documents`` does."""
     made = (dict(grammar.weights), grammar.bias, grammar.slope, grammar.gains)
 
     def make():

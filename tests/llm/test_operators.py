@@ -83,11 +83,69 @@ def test_grammar_composes():
     assert g.feature("what an idiot") < plain
     assert g.feature("i will kill you") > 0 and g.feature("i kill time") == 0 and g.feature("we will kill it") == 0
     assert g.feature("i will kill you. fine") > g.feature("you are fine.") == 0
-    assert g.feature("he said you will kill you") < g.feature("i will kill you")
-    assert len(g.arcs) == 8 * len(g.finals) and all(t in g.finals for t, _ in g.arcs.values())
+    assert g.feature("he said i will kill you") < g.feature("i will kill you")
+    assert g.feature("you will kill it") == 0  # the target comes before the threat
+    assert len(g.arcs) == 9 * len(g.finals) and all(t in g.finals for t, _ in g.arcs.values())
     assert g.feature("you idiot\nyou clown") > g.feature("you idiot")  # clauses are scored one by one
 
 
+def test_reported_speech_goes_over_clauses():
+    g = toxicity.Grammar()
+    direct, half = g.clauses("you idiot"), [x * g.gains.reported for x in g.clauses("you idiot")]
+    assert g.clauses('"I was there. It was late." you idiot') == direct
+    assert g.clauses('"I agree. You idiot. You idiot." he said') == half * 2
+    assert g.clauses("he said: you idiot") == half and g.clauses("listen: you idiot") == direct
+    assert g.clauses("“I agree. You idiot” … you idiot") != direct * 2
+    assert g.clauses('an "open mark. you idiot') == direct and g.clauses('"he left\nyou idiot"') == direct
+    assert g.clauses("„gut. you idiot.“ you idiot") == half + direct
+    learned = toxicity.Grammar({"idiot": 5.0, "not": 1.0, "you": 1.0})
+    assert learned.read("not")[0] == toxicity.NEGATION and learned.read("you")[0] == toxicity.TARGET
+    assert learned.feature("you are not an idiot") < learned.feature("you are an idiot")
+
+
+def cascade(tokens, gains, quoted):
+    """Five transducers one after the other over ``(symbol, weight)``; the clause's weight."""
+    reported, verb = [], False
+    for symbol, _ in tokens:
+        mark = symbol in (toxicity.OPEN, toxicity.CLOSE)
+        reported.append(not mark and (verb or quoted))
+        quoted = symbol == toxicity.OPEN if mark else quoted
+        verb = verb or symbol == toxicity.REPORT
+    negated = [any(s == toxicity.NEGATION for s, _ in tokens[max(0, i - 3) : i]) for i in range(len(tokens))]
+    factor = [(gains.reported if r else 1.0) * (gains.negated if n else 1.0) for r, n in zip(reported, negated)]
+    target = any(s == toxicity.TARGET for s, _ in tokens)
+    marker = next((i for i, (s, _) in enumerate(tokens) if s == toxicity.MARKER), None)
+    verb = next((i for i, (s, _) in enumerate(tokens) if s == toxicity.THREAT and marker is not None and i > marker), None)
+    threat = verb is not None and any(s == toxicity.TARGET for s, _ in tokens[verb + 1 :])
+    return sum(f * w for f, (_, w) in zip(factor, tokens)) * (gains.targeted if target else 1.0) + (gains.threat * factor[verb] if threat else 0.0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_machine_equals_the_cascade(seed):
+    rng = random.Random(seed)
+    gains = toxicity.Gains(0.3, 0.7, 1.9, 2.5)
+    arcs, finals = toxicity.compose(gains)
+    for _ in range(3000):
+        quoted = rng.random() < 0.3
+        tokens = [(rng.randrange(9), rng.choice([0.0, 0.0, 1.5, 4.0])) for _ in range(rng.randint(0, 14))]
+        state, total = toxicity._start(quoted), 0.0
+        for symbol, weight in tokens:
+            state, factor = arcs[state, symbol]
+            total += factor * weight
+        factor, bonus = finals[state]
+        assert math.isclose(total * factor + bonus, cascade(tokens, gains, quoted), abs_tol=1e-12)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Invalid UTF-8, clashing names, repeated rows, a text of 20 MB."""
+    g = toxicity.Grammar()
+    docs = spark.sql("SELECT 1L AS doc_id, cast(X'796F7520FF206964696F74' AS string) AS text, 2.0D AS score, 1 AS label UNION ALL SELECT 1L, cast(X'796F7520FF206964696F74' AS string), 2.0D, 1 UNION ALL SELECT 2L, repeat('fine words. ', 1700000), 1.0D, 0")
+    got = sorted(tuple(r) for r in toxicity.score_documents(docs, g).collect())
+    assert got[0] == got[1] == (1, g.score("you \ufffd idiot")) and got[2] == (2, g.score("fine words"))
+    kept = toxicity.drop_toxic(docs, g).collect()
+    assert [(r.doc_id, r.score, len(r.text)) for r in kept] == [(2, 1.0, 12 * 1700000)]
+
+
 def test_toxicity_learns_and_generalises(spark):
     rng = random.Random(5)
     names = ["".join(rng.choices("bcdfghklmnprst", k=5)) for _ in range(300)]
@@ -655,6 +713,7 @@ def test_warc_chunks(spark, tmp_path):
     from pyarrow import fs
 
     payload = random.Random(1).randbytes(100_000)
+    sha = lambda x: hashlib.sha1(x).digest()
     store = fs.LocalFileSystem()
     for plain in (False, True):
         path = str(tmp_path / f"x{plain}.warc")
