@@ -562,6 +562,14 @@ def test_stage_links_by_exact_similarity(spark, most):
 # ------------------------------------------------------------------- substring
 
 
+def test_substrings_of_odd_rows(spark):
+    df = spark.sql(ODD.format(more="7 AS kept, 8 AS crc, 9 AS at, 'x' AS mark, 1L AS n_chars"))
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.substring_dedup(df, 3).collect())
+    assert got == [(0, 2, 0), (1, 7, 0), (2, 7, 7), (2, 7, 7), (3, 3_500_000, 0), (4, 3_500_000, 3_500_000), (5, 2, 0)]
+    out = {(r.doc_id, len(r.text.split()), r.n_chars, r.kept) for r in substring.strip_repeats(df, 3).collect()}
+    assert {(2, 0, 0, 7), (4, 0, 0, 7), (5, 2, 1, 7)} < out
+
+
 def brute_substrings(rows, window):
     first = {}
     for i, t, _, _ in rows:
@@ -597,18 +605,46 @@ def test_substring_dedup(spark, seed, window, batches, monkeypatch):
 
 def test_index_compacts(spark):
     index = substring.FingerprintIndex(spark, fan_out=2, buckets=2)
-    batch = lambda rows: spark.createDataFrame(rows, "doc_id long, mark long")
-    marks = lambda df: sorted(r.mark for r in df.collect())
-    assert marks(index.add(batch([(1, 10), (2, 10), (1, 11)]))) == [10]
-    assert marks(index.add(batch([(3, 11), (3, 12)]))) == [11]
-    assert marks(index.add(batch([(4, 12), (4, 10), (4, 13)]))) == [10, 12]
-    index.keep_compact()
-    assert len(index.runs) == 1
-    assert marks(index.add(batch([(5, 13), (5, 14)]))) == [13]
+    add = lambda rows: tuple(sorted(tuple(r) for r in df.collect()) if df is not None else [] for df in index.add(spark.createDataFrame(rows, "doc_id long, mark long")))
+    assert add([(1, 10), (2, 10), (1, 11)]) == ([(10,)], [])
+    assert add([(3, 11), (3, 12)]) == ([(11,)], [(11, 1)])
+    assert len(index.marks) == 2
+    assert add([(4, 12), (4, 10), (4, 13), (4, 11)]) == ([(10,), (11,), (12,)], [(12, 3)])
+    assert len(index.marks) == 1
+    assert add([(5, 13), (5, 14), (5, 10)]) == ([(10,), (13,)], [(13, 4)])
     index.drop()
     assert substring.substring_dedup(make(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("full", [20, 10**9])
+def test_index_is_kept_and_reads_no_history_again(spark, monkeypatch, full):
+    """Batches added to a kept index, which is opened anew each time; of the history only
+    those texts are given to which a mark points, the others are blank."""
+    monkeypatch.setattr(substring.FingerprintIndex, "FULL", full)
+    window, rows = 8, [r for r in corpus(8, 200, vocabulary=6, most=25) if r[1]]
+    rows.sort(key=lambda r: r[0] * 7919 % 1009)  # identifiers don't follow the batches
+    folder = scratch_path(spark, "kept")
+    substring.FingerprintIndex(spark, folder, fan_out=2, buckets=3).save()
+    marks = {i: set(substring.window_fingerprints(t.encode().split(), window).tolist()) for i, t, *_ in rows}
+    cuts = [0, 60, 90, 95, 140, 141, len(rows)]
+    blank = 0
+    for low, high in zip(cuts, cuts[1:]):
+        batch, before = rows[low:high], rows[:low]
+        holders = Counter(m for i, *_ in before for m in marks[i])
+        new = set().union(*(marks[i] for i, *_ in batch))
+        pointed = {i for i, *_ in before if any(holders[m] == 1 and m in new for m in marks[i])}
+        blank += len(before) - len(pointed)
+        history = make(spark, [(i, t if i in pointed else None, s, e) for i, t, s, e in before])
+        index = substring.FingerprintIndex.open(spark, folder)
+        got = substring.substring_dedup(make(spark, batch), window, 1, index, history, rejoin=True).collect()
+        want = brute_substrings(rows[:high], window)
+        ids = {r[0] for r in batch}
+        assert sorted(map(tuple, got)) == sorted(w for w in want if w[0] in ids)
+    assert blank > 100 and len(index.marks) <= 2 and len(index.verified) <= 2
+    assert (index.slots > 3) == (full == 20)
+    index.drop()
+
+
 # ---------------------------------------------------------------------- tokens
 
 
