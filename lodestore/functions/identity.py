@@ -104,11 +104,24 @@ def is_manifest_key(text: Column) -> Column:
     return F.coalesce(text.rlike(KEY), F.lit(False))
 
 
+#: White space around a fingerprint: tab to carriage return, next line, and Unicode's separators.
+SPACES = "\t\n\x0b\x0c\r\x85\u00a0\u1680\u2028\u2029\u202f\u205f\u3000 " + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def bare_fingerprint(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
 def normal_fingerprint(text: Column) -> Column:
-    """Trimmed of white space; null unless 1 to 1024 UTF-8 bytes without control characters."""
-    space = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
-    bare = F.regexp_replace(F.regexp_replace(text, rf"\A{space}+", ""), rf"{space}+\z", "")
-    return F.when(F.octet_length(bare).between(1, 1024) & ~bare.rlike(r"\p{Cc}"), bare)
+    """Trimmed of white space; null unless 1 to 1024 UTF-8 bytes without ASCII control characters."""
+    bare = bare_fingerprint(text)
+    return F.when(F.octet_length(bare).between(1, 1024) & ~bare.rlike(r"[\x00-\x1F\x7F]"), bare)
+
+
+def plain_fingerprint(text: str) -> str | None:
+    """``normal_fingerprint`` of a string."""
+    bare = text.strip(SPACES)
+    return bare if 1 <= len(bare.encode()) <= 1024 and all(c >= " " and c != "\x7f" for c in bare) else None
 
 
 def clamped(value: Column, cap: int) -> Column:
@@ -129,6 +142,32 @@ def saturating_add(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_add(a, b), F.when(a.isNotNull() & b.isNotNull(), F.lit(LONG_MAX)))
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    """A whole number's shard; other keys are hashed first."""
-    return F.pmod(key, F.lit(shards).cast("bigint")).cast("int")
+def checked_product(a: Column, b: Column) -> Column:
+    """The product; beyond a long an error, whatever the session's ANSI setting."""
+    return _checked(F.try_multiply(a.cast("bigint"), b.cast("bigint")), a, b)
+
+
+def checked_sum(a: Column, b: Column) -> Column:
+    """The sum; beyond a long an error, whatever the session's ANSI setting."""
+    return _checked(F.try_add(a.cast("bigint"), b.cast("bigint")), a, b)
+
+
+def _checked(value: Column, a: Column, b: Column) -> Column:
+    overflow = value.isNull() & a.isNotNull() & b.isNotNull()
+    return F.when(overflow, F.raise_error(F.lit(Fault.LIMIT_EXCEEDED.value))).otherwise(value)
+
+
+def nanoseconds(seconds: Column, microseconds: Column) -> Column:
+    """A time of seconds and microseconds in nanoseconds; beyond a long an error."""
+    return checked_sum(checked_product(seconds, F.lit(1_000_000_000)), checked_product(microseconds, F.lit(1_000)))
+
+
+def timestamp_of(seconds: Column, nanoseconds_: Column) -> Column:
+    """The timestamp of seconds since 1970 and nanoseconds, cut to microseconds."""
+    micros = checked_sum(checked_product(seconds, F.lit(1_000_000)), F.floor(nanoseconds_ / 1_000).cast("bigint"))
+    return F.timestamp_micros(micros)
+
+
+def shard_of(key: Column, shards: int, hashed: bool = False) -> Column:
+    """The shard of a whole number, or with ``hashed`` of any key by its hash."""
+    return F.pmod(F.xxhash64(key) if hashed else key, F.lit(shards).cast("bigint")).cast("int")

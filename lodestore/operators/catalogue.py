@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestore.functions import identity as I
-from lodestore.functions.errors import ENTRY_CAP, Fault, MaintenanceLimits, StoreError
+from lodestore.functions.errors import BLOB_BYTES_CAP, ENTRY_CAP, Fault, MaintenanceLimits, StoreError
+from lodestore.sources.scratch import materialise
 
 
 def describe(payloads: DataFrame, content: str, partition_material: str, physical_id: str, domain: str = "docs", namespace: str = I.NAMESPACE, last_access: Column | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def remove(catalogue: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def remove_partition(catalogue: DataFrame, partition: Column) -> DataFrame:
-    return catalogue.where(F.col("partition") != partition)
+    return catalogue.where(~F.col("partition").eqNullSafe(partition))
 
 
 def live_totals(live: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def orphans(files: DataFrame, referenced: DataFrame, pending: DataFrame | None =
     names = referenced.select("name")
     if pending is not None:
         names = names.unionByName(pending.select("name"))
-    temporary, record = F.col("name").startswith(".tmp-"), F.col("name").rlike(I.RECORD_NAME)
+    temporary, record = F.col("name").startswith(".tmp-") | F.col("name").startswith(".durable-tmp-"), F.col("name").rlike(I.RECORD_NAME)
     return files.where(temporary).unionByName(files.where(~temporary & ~record).join(names, "name", "left_anti"))
 
 
@@ -125,6 +126,21 @@ def footprint(files: DataFrame) -> DataFrame:
     return files.groupBy(kind.alias("class")).agg(F.count("*").alias("files"), F.sum("length").cast("bigint").alias("bytes"))
 
 
+def repeated_paths(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``(path, uses)`` of the paths that a list names more than once, null too."""
+    return paths.groupBy(F.col(path).alias("path")).agg(F.count("*").alias("uses")).where("uses > 1")
+
+
+def unique_paths(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The sorted list without repeats."""
+    return paths.select(F.col(path).alias("path")).distinct().orderBy("path")
+
+
+def maxima(samples: DataFrame, values: list[str], *by: str) -> DataFrame:
+    """The largest of each measured value, by what was measured."""
+    return samples.groupBy(*by).agg(*[F.max(v).alias(f"max_{v}") for v in values], F.count("*").alias("samples"))
+
+
 def audit(catalogue: DataFrame, payloads: DataFrame) -> DataFrame:
     """``(key, physical_id, status)``: hit, missing, truncated or corrupt."""
     p = payloads.select("physical_id", F.octet_length("content").alias("size"), I.digest_hex(F.col("content")).alias("hash"))
@@ -133,13 +149,21 @@ def audit(catalogue: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def invalid_entries(catalogue: DataFrame, namespace: str = I.NAMESPACE) -> DataFrame:
-    """``(key, reason)`` of entries that break a rule of the manifest."""
+    """``(key, reason)`` of entries that break a rule of the manifest. A ``last_access``
+    column, if there is one, must be known and, as a number, finite."""
+    sound_time = F.lit(True)
+    if "last_access" in catalogue.columns:
+        at = F.col("last_access")
+        sound_time = at.isNotNull()
+        if catalogue.schema["last_access"].dataType.typeName() in ("double", "float"):
+            sound_time = sound_time & ~F.isnan(at) & (F.abs(at) < float("inf"))
     shared = catalogue.groupBy("physical_id").agg(F.count("*").alias("uses")).where("uses > 1")
     again = I.manifest_key(F.col("partition"), I.canonical_of(F.col("digest_hex"), F.col("byte_count")), namespace)
     reason = (
         F.when(~I.is_manifest_key(F.col("key")), "key shape")
         .when(~I.is_partition(F.col("partition")), "partition width")
-        .when(F.col("byte_count") < 0, "byte count")
+        .when(F.coalesce(~F.col("byte_count").between(0, BLOB_BYTES_CAP), F.lit(True)), "byte count")
+        .when(~sound_time, "last access")
         .when(again != F.col("key"), "key")
         .when(F.col("uses").isNotNull(), "physical identifier")
     )
@@ -160,8 +184,10 @@ def trim(catalogue: DataFrame, soft_bytes: int) -> DataFrame:
     With ``excess = total - soft_bytes``, an entry is a victim iff the bytes before it
     are less than ``excess``. The border is narrowed by aggregation, to an hour, then
     to an instant, then to a prefix of the key, so only that last group's entries are
-    put in order by a window; all others are decided by a filter.
+    put in order by a window; all others are decided by a filter. The catalogue is
+    written to the shared folder once, as each narrowing reads it.
     """
+    catalogue = materialise(catalogue, "trim")
     total = catalogue.agg(F.coalesce(F.sum("byte_count"), F.lit(0)).cast("bigint")).first()[0]
     excess = total - soft_bytes
     if excess <= 0:

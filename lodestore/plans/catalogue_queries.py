@@ -18,6 +18,7 @@ from lodestore.operators import catalogue as C
 from lodestore.operators import changelog as L
 from lodestore.operators import sieve as S
 from lodestore.sources import payloads as P
+from lodestore.sources import reports as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -171,11 +172,12 @@ def live_totals(spark, sf_dir):
 
 
 def _files(spark, sf_dir):
-    name = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit(".tmp-"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 11 == 1, F.concat(F.lit(".manifest-entry-"), I.digest_hex(F.col("text")), F.lit(".json"))).otherwise(F.col("doc_id").cast("string"))
+    prefix = F.when(F.col("doc_id") % 2 == 0, F.lit(".tmp-")).otherwise(F.lit(".durable-tmp-"))
+    name = F.when(F.col("doc_id") % 11 == 0, F.concat(prefix, F.col("doc_id").cast("string"))).when(F.col("doc_id") % 11 == 1, F.concat(F.lit(".manifest-entry-"), I.digest_hex(F.col("text")), F.lit(".json"))).otherwise(F.col("doc_id").cast("string"))
     return _table(spark, sf_dir, "documents").select(name.alias("name"), F.octet_length("text").cast("bigint").alias("byte_count"))
 
 
-@query("SELECT name, byte_count FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN '.tmp-' || doc_id WHEN doc_id % 11 = 1 THEN '.manifest-entry-' || sha256(text) || '.json' ELSE CAST(doc_id AS VARCHAR) END AS name, CAST(strlen(text) AS BIGINT) AS byte_count, doc_id FROM documents) WHERE doc_id % 11 = 0 OR (doc_id % 11 > 1 AND doc_id % 3 <> 0 AND doc_id % 10 <> 7)")
+@query("SELECT name, byte_count FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '.tmp-' ELSE '.durable-tmp-' END || doc_id WHEN doc_id % 11 = 1 THEN '.manifest-entry-' || sha256(text) || '.json' ELSE CAST(doc_id AS VARCHAR) END AS name, CAST(strlen(text) AS BIGINT) AS byte_count, doc_id FROM documents) WHERE doc_id % 11 = 0 OR (doc_id % 11 > 1 AND doc_id % 3 <> 0 AND doc_id % 10 <> 7)")
 def orphans(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     named = lambda cond: d.where(cond).select(F.col("doc_id").cast("string").alias("name"))
@@ -262,11 +264,13 @@ def remove_keys(spark, sf_dir):
     return C.remove(_catalogue(spark, sf_dir), _batch(spark, sf_dir).where("physical_id % 10 = 1").select("key").distinct()).select("key")
 
 
-@query(f"{CATALOGUE_SQL}, bad AS (SELECT CASE WHEN physical_id % 10 = 1 THEN upper(key) WHEN physical_id % 10 = 2 THEN substr(key, 2) ELSE key END AS key, physical_id, CASE WHEN physical_id % 10 = 3 THEN -byte_count - 1 WHEN physical_id % 10 = 4 THEN byte_count + 1 ELSE byte_count END AS byte_count FROM cat) SELECT key, CASE physical_id % 10 WHEN 1 THEN 'key shape' WHEN 2 THEN 'key shape' WHEN 3 THEN 'byte count' ELSE 'key' END AS reason FROM bad WHERE physical_id % 10 IN (1, 2, 3, 4)")
+@query(f"{CATALOGUE_SQL}, bad AS (SELECT CASE WHEN physical_id % 10 = 1 THEN upper(key) WHEN physical_id % 10 = 2 THEN substr(key, 2) ELSE key END AS key, physical_id, CASE WHEN physical_id % 10 = 3 THEN -byte_count - 1 WHEN physical_id % 10 = 4 THEN byte_count + 1 WHEN physical_id % 10 = 5 THEN 1073741825 ELSE byte_count END AS byte_count FROM cat) SELECT key, CASE physical_id % 10 WHEN 1 THEN 'key shape' WHEN 2 THEN 'key shape' WHEN 3 THEN 'byte count' WHEN 5 THEN 'byte count' WHEN 6 THEN 'last access' WHEN 7 THEN 'last access' ELSE 'key' END AS reason FROM bad WHERE physical_id % 10 BETWEEN 1 AND 7")
 def entry_validation(spark, sf_dir):
     k = F.col("physical_id") % 10
     cat = _catalogue(spark, sf_dir).withColumn("key", F.when(k == 1, F.upper("key")).when(k == 2, F.expr("substr(key, 2)")).otherwise(F.col("key")))
-    return C.invalid_entries(cat.withColumn("byte_count", F.when(k == 3, -F.col("byte_count") - 1).when(k == 4, F.col("byte_count") + 1).otherwise(F.col("byte_count"))))
+    size = F.when(k == 3, -F.col("byte_count") - 1).when(k == 4, F.col("byte_count") + 1).when(k == 5, F.lit((1 << 30) + 1)).otherwise(F.col("byte_count"))
+    at = F.when(k == 6, F.lit(None)).when(k == 7, F.lit(float("inf"))).otherwise(F.lit(1.5))
+    return C.invalid_entries(cat.withColumn("byte_count", size).withColumn("last_access", at.cast("double")))
 
 
 def _accessed(spark, sf_dir):
@@ -328,6 +332,37 @@ def contention_convergence(spark, sf_dir):
     return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("fingerprint")).agg(F.count("*").alias("successes"), F.count_distinct("o_custkey").alias("identifiers"), F.max("o_orderkey").alias("largest"))
 
 
+@query("SELECT source, url AS path, uses FROM (SELECT 'pages' AS source, url, count(*) AS uses FROM pages GROUP BY url HAVING count(*) > 1)")
+def path_uniqueness(spark, sf_dir):
+    return C.repeated_paths(_table(spark, sf_dir, "pages"), "url").select(F.lit("pages").alias("source"), "path", "uses")
+
+
+@query("SELECT event_type, CAST(user_id % 4 AS BIGINT) AS workload, max(value) AS max_value, max(event_id) AS max_event_id, count(*) AS samples FROM events GROUP BY 1, 2")
+def resource_maxima(spark, sf_dir):
+    samples = _table(spark, sf_dir, "events").withColumn("workload", F.col("user_id") % 4)
+    return C.maxima(samples, ["value", "event_id"], "event_type", "workload")
+
+
+@query("SELECT '{\"bytes\":' || CAST(sum(strlen(text)) AS BIGINT) || ',\"files\":' || count(*) || ',\"source\":\"' || source || '\"}' AS value FROM documents WHERE source IS NOT NULL GROUP BY source")
+def json_report(spark, sf_dir):
+    """Keys are sorted, whatever the columns' order."""
+    rows = _table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
+    return R.report_lines(rows)
+
+
+@query("SELECT event_id, s * 1000000000 + us * 1000 AS ns, make_timestamp(s * 1000000 + us) AS at FROM (SELECT event_id, epoch_us(ts) // 1000000 AS s, event_id % 1000000 AS us FROM events)")
+def time_conversion(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    s, us = F.unix_seconds(F.col("ts").cast("timestamp")), F.col("event_id") % 1_000_000
+    return e.select("event_id", I.nanoseconds(s, us).alias("ns"), I.timestamp_of(s, us * 1_000 + 999).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT o_orderkey, o_orderkey * 4096 AS product, o_orderkey + 9223372036854000000 AS total FROM orders")
+def checked_arithmetic(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", I.checked_product(key, F.lit(4096)).alias("product"), I.checked_sum(key, F.lit(9223372036854000000)).alias("total"))
+
+
 # ----------------------------------------------------------------- change log
 
 
@@ -345,19 +380,19 @@ def manifest_replay(spark, sf_dir):
     return L.replay(_records(spark, sf_dir), 2).select("key", "entry.*")
 
 
-@query(f"{_RECORDS_SQL}, snap AS (SELECT DISTINCT key, 0 AS sequence, 'snapshot' AS event_type, 0.5 AS value FROM rec WHERE generation = 1), both_ AS (SELECT key, sequence, event_type, value FROM rec WHERE generation = 2 AND sequence % 3 = 0 UNION ALL SELECT * FROM snap), last AS (SELECT key, arg_max(event_type, sequence) AS event_type, CAST(arg_max(value, sequence) AS DOUBLE) AS value FROM both_ GROUP BY key) SELECT CAST(3 AS BIGINT) AS generation, key, event_type, value FROM last WHERE event_type <> 'error'")
+@query(f"{_RECORDS_SQL}, snap AS (SELECT DISTINCT key, 0 AS sequence, 'snapshot' AS event_type, 0.5 AS value FROM rec WHERE generation = 1), both_ AS (SELECT key, sequence, event_type, value FROM rec WHERE generation = 2 UNION ALL SELECT * FROM snap), last AS (SELECT key, arg_max(event_type, sequence) AS event_type, CAST(arg_max(value, sequence) AS DOUBLE) AS value FROM both_ GROUP BY key) SELECT CAST(3 AS BIGINT) AS generation, key, event_type, value FROM last WHERE event_type <> 'error'")
 def manifest_checkpoint(spark, sf_dir):
     rec = _records(spark, sf_dir)
     snap = rec.where("generation = 1").select("key", F.struct(F.lit("snapshot").alias("event_type"), F.lit(0.5).alias("value")).alias("entry")).distinct()
-    return L.replay(rec.where("sequence % 3 = 0"), 2, snap).select(F.lit(3).cast("bigint").alias("generation"), "key", "entry.*")
+    return L.replay(rec, 2, snap).select(F.lit(3).cast("bigint").alias("generation"), "key", "entry.*")
 
 
-@query("SELECT CASE WHEN event_id % 20 = 7 THEN 0 WHEN event_id % 20 = 9 THEN 1000000007 ELSE event_id + 1 END AS sequence, CASE WHEN event_id % 20 = 5 THEN 'short' ELSE sha256(CAST(user_id AS VARCHAR)) END AS key, CASE WHEN event_id % 20 = 1 THEN 'unsupported schema' WHEN event_id % 20 = 3 THEN 'future generation' WHEN event_id % 20 = 7 THEN 'sequence' WHEN event_id % 20 = 5 THEN 'key shape' ELSE 'repeated sequence' END AS reason FROM events WHERE event_id % 20 IN (1, 3, 5, 7, 9)")
+@query("SELECT CASE WHEN event_id % 20 = 7 THEN 0 WHEN event_id % 20 = 9 THEN 1000000007 ELSE event_id + 1 END AS sequence, CASE WHEN event_id % 20 = 5 THEN 'short' ELSE sha256(CAST(user_id AS VARCHAR)) END AS key, CASE WHEN event_id % 20 = 1 THEN 'unsupported schema' WHEN event_id % 20 = 3 THEN 'future generation' WHEN event_id % 20 = 7 THEN 'sequence' WHEN event_id % 20 = 5 THEN 'key shape' ELSE 'repeated sequence' END AS reason FROM events WHERE event_id % 20 IN (1, 3, 5, 7, 9) UNION ALL SELECT CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'too many records' FROM (SELECT count(*) AS n FROM events WHERE event_id % 10 <> 0 AND event_id % 20 <> 3) WHERE n > 512")
 def record_validation(spark, sf_dir):
     k = (F.col("sequence") - 1) % 20
     rec = _records(spark, sf_dir)
     rec = rec.select(F.when(k == 1, 9).otherwise(1).alias("schema_version"), F.when(k == 3, F.lit(5)).otherwise(F.col("generation")).cast("bigint").alias("generation"), F.when(k == 7, F.lit(0)).when(k == 9, F.lit(1000000007)).otherwise(F.col("sequence")).cast("bigint").alias("sequence"), F.when(k == 5, F.lit("short")).otherwise(F.col("key")).alias("key"), "entry")
-    return L.record_faults(rec, 2)
+    return L.record_faults(rec, 2, most=512)
 
 
 def _generations(spark, sf_dir):
@@ -391,34 +426,59 @@ def sieve_scan_fifo(spark, sf_dir):
     return S.survivors(trace, 50_000)
 
 
-@query()
+def _replay_sql(shards: int, limit: int) -> str:
+    """The trace's outcomes by a recursion of small steps: one operation, or one turn of
+    the hand, of each shard at a time, with the entries as lists from oldest to newest."""
+    less = lambda xs, p: f"{xs}[:{p} - 1] || {xs}[{p} + 1:]"
+    return f"""
+        WITH RECURSIVE t AS (SELECT CAST(user_id % {shards} AS INTEGER) AS shard, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'get' ELSE 'put' END AS op, CAST(user_id AS VARCHAR) AS key, greatest(1, CAST(ceil(value) AS BIGINT)) AS cost, row_number() OVER (PARTITION BY user_id % {shards} ORDER BY event_id) AS n FROM events),
+        run AS (
+            SELECT DISTINCT shard, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ks, CAST([] AS BIGINT[]) AS cs, CAST([] AS BOOLEAN[]) AS vs, CAST(1 AS BIGINT) AS hand, true AS done, CAST(NULL AS BOOLEAN) AS hit, CAST(0 AS BIGINT) AS freed FROM t
+            UNION ALL
+            SELECT shard, n,
+                CASE WHEN op = 'get' OR NOT fits AND spared THEN ks WHEN fits THEN ks || [key] WHEN ends THEN ({less("ks", "hand")}) || [key] ELSE {less("ks", "hand")} END,
+                CASE WHEN op = 'get' OR NOT fits AND spared THEN cs WHEN fits THEN cs || [cost] WHEN ends THEN ({less("cs", "hand")}) || [cost] ELSE {less("cs", "hand")} END,
+                CASE WHEN op = 'get' AND p > 0 THEN vs[:p - 1] || [true] || vs[p + 1:] WHEN op = 'get' THEN vs WHEN fits THEN vs || [false] WHEN spared THEN vs[:hand - 1] || [false] || vs[hand + 1:] WHEN ends THEN ({less("vs", "hand")}) || [false] ELSE {less("vs", "hand")} END,
+                CASE WHEN op = 'get' OR fits THEN hand WHEN spared THEN hand % len(ks) + 1 WHEN hand = len(ks) THEN 1 ELSE hand END,
+                op = 'get' OR fits OR ends,
+                CASE WHEN op = 'get' THEN p > 0 ELSE true END,
+                freed + CASE WHEN op = 'get' OR fits OR spared THEN 0 ELSE cs[hand] END
+            FROM (SELECT *, total + cost <= {limit} AS fits, coalesce(vs[hand], false) AS spared, NOT coalesce(vs[hand], false) AND total - coalesce(cs[hand], 0) + cost <= {limit} AS ends
+                FROM (SELECT shard, n, op, key, cost, p, ks, cs, vs, CASE WHEN hand > len(ks) THEN 1 ELSE hand END AS hand, freed, CAST(coalesce(list_sum(cs), 0) AS BIGINT) AS total
+                    FROM (SELECT shard, n, op, key, cost, p, freed, CASE WHEN gone AND p < hand THEN hand - 1 ELSE hand END AS hand, CASE WHEN gone THEN {less("ks", "p")} ELSE ks END AS ks, CASE WHEN gone THEN {less("cs", "p")} ELSE cs END AS cs, CASE WHEN gone THEN {less("vs", "p")} ELSE vs END AS vs
+                        FROM (SELECT r.shard, t.n, t.op, t.key, t.cost, r.ks, r.cs, r.vs, r.hand, CASE WHEN r.done THEN 0 ELSE r.freed END AS freed, coalesce(list_position(r.ks, t.key), 0) AS p, t.op = 'put' AND r.done AND coalesce(list_position(r.ks, t.key), 0) > 0 AS gone
+                            FROM run r JOIN t ON t.shard = r.shard AND t.n = r.n + CASE WHEN r.done THEN 1 ELSE 0 END))))
+        ),
+        out AS (SELECT shard, seq, op, key, hit, freed, CAST(len(ks) AS BIGINT) AS items, CAST(coalesce(list_sum(cs), 0) AS BIGINT) AS cost FROM run JOIN t USING (shard, n) WHERE done AND n > 0)
+    """
+
+
+@query(f"{_replay_sql(1, 5_000)} SELECT * FROM out")
 def sieve_replay(spark, sf_dir):
     return S.replay(_trace(spark, sf_dir, 1), 5_000).drop("evicted")
 
 
-@query()
+@query(f"{_replay_sql(8, 1_000)} SELECT * FROM out")
 def sharded_sieve_replay(spark, sf_dir):
     return S.replay(_trace(spark, sf_dir, 8), 8_000, 8).drop("evicted")
 
 
-@query()
+@query(f"{_replay_sql(8, 1_000)} SELECT CAST(sum(items) AS BIGINT) AS items, CAST(sum(cost) AS BIGINT) AS cost FROM (SELECT arg_max(items, seq) AS items, arg_max(cost, seq) AS cost FROM out GROUP BY shard)")
 def sharded_cost_snapshot(spark, sf_dir):
     last = S.replay(_trace(spark, sf_dir, 8), 8_000, 8).groupBy("shard").agg(F.max_by(F.struct("items", "cost"), "seq").alias("s"))
     return last.agg(F.sum("s.items").cast("bigint").alias("items"), F.sum("s.cost").cast("bigint").alias("cost"))
 
 
-@query()
+@query(f"{_replay_sql(8, 1_000)} SELECT seq, op, key, hit, items, cost FROM out")
 def sieve_udtf(spark, sf_dir):
     spark.udtf.register("sieve_replay_rows", S.SieveReplay)
     _trace(spark, sf_dir, 8).createOrReplaceTempView("lodestore_trace")
     return spark.sql("SELECT * FROM sieve_replay_rows(TABLE(SELECT * FROM lodestore_trace) PARTITION BY shard ORDER BY (seq), 1000)")
 
 
-@query("SELECT t.total, CAST(i AS INTEGER) AS shard, t.total // 8 + CASE WHEN i < t.total % 8 THEN 1 ELSE 0 END AS share FROM (SELECT o_orderkey * 37 AS total FROM orders WHERE o_orderkey % 50 = 3) t, range(8) r(i)")
+@query("SELECT t.total, CAST(i AS INTEGER) AS shard, t.total // 8 + CASE WHEN i < t.total % 8 THEN 1 ELSE 0 END AS share FROM (SELECT o_orderkey * 37 AS total FROM orders) t, range(8) r(i)")
 def budget_partition(spark, sf_dir):
-    totals = _table(spark, sf_dir, "orders").where("o_orderkey % 50 = 3").select((F.col("o_orderkey") * 37).alias("total"))
-    rows = totals.select("total", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("shard"))
-    return rows.select("total", "shard", (F.expr("total div 8") + (F.col("shard") < F.col("total") % 8).cast("bigint")).alias("share"))
+    return S.budget_shares(_table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 37).alias("total")), 8)
 
 
 _BUDGET_SQL = "WITH c AS (SELECT o_custkey % 40 AS trial, o_orderkey % 8 AS shard, CAST(sum(o_orderkey % 97) AS BIGINT) AS cost FROM orders GROUP BY 1, 2), t AS (SELECT trial, CAST(sum(cost) AS BIGINT) AS s, count(*) AS n, CAST(sum(cost) AS BIGINT) + 900 AS total, trial * 60 AS incoming, trial % 8 AS target FROM c GROUP BY trial HAVING count(*) = 8), j AS (SELECT c.trial, shard, cost, total, incoming, target, s, incoming <= total - s AS fits FROM c JOIN t USING (trial)), k AS (SELECT *, CASE WHEN fits THEN total - s - incoming ELSE total - least(total, first_cost + incoming) END AS rest FROM (SELECT *, max(CASE WHEN shard = target THEN cost END) OVER (PARTITION BY trial) AS first_cost FROM j))"

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from lodestore.functions.errors import Fault, StoreError
 
 TEMPORARY = ".tmp-"
+#: All prefixes of files that a crash may leave behind.
+LEFTOVERS = (TEMPORARY, ".durable-tmp-", ".fast-blob-", ".fast-record-")
 
 
 @dataclass
@@ -58,15 +60,17 @@ def write_all(handle: int, data: bytes, ops: FileOps) -> None:
         view = view[n:]
 
 
-def write_temporary(folder: str, data: bytes, ops: FileOps | None = None) -> str:
+def write_temporary(folder: str, data: bytes, ops: FileOps | None = None, prefix: str = TEMPORARY, hooks: Hooks | None = None, what: str = "file") -> str:
     """A synced private file with a name of its own; nothing is left after a failure."""
-    ops = ops or FileOps()
-    path = os.path.join(folder, TEMPORARY + uuid.uuid4().hex)
+    ops, hooks = ops or FileOps(), hooks or Hooks()
+    path = os.path.join(folder, prefix + uuid.uuid4().hex)
     handle = ops.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW | os.O_CLOEXEC, 0o600)
     try:
         try:
             write_all(handle, data, ops)
+            hooks(f"after {what} written")
             ops.fsync(handle)
+            hooks(f"after {what} synced")
         finally:
             ops.close(handle)
     except BaseException:
@@ -81,7 +85,7 @@ def write_replacing(path: str, data: bytes, ops: FileOps | None = None, hooks: H
     ops, hooks = ops or FileOps(), hooks or Hooks()
     folder = os.path.dirname(path)
     hooks("before write")
-    temporary = write_temporary(folder, data, ops)
+    temporary = write_temporary(folder, data, ops, hooks=hooks, what="record")
     try:
         hooks("before rename")
         ops.replace(temporary, path)

@@ -6,11 +6,11 @@ import json
 import os
 import re
 import time
-import unicodedata
 import uuid
 from dataclasses import dataclass
 
 from lodestore.functions.errors import Fault, StoreError
+from lodestore.functions.identity import plain_fingerprint
 from lodestore.sources import durable
 from lodestore.sources.durable import FileOps, Hooks
 from lodestore.sources.lease import cross_process_lock
@@ -23,8 +23,8 @@ PREFIX = "generation-"
 
 
 def normal_fingerprint(text: str) -> str:
-    bare = text.strip()
-    if not 1 <= len(bare.encode()) <= 1024 or any(unicodedata.category(c) == "Cc" for c in bare):
+    bare = plain_fingerprint(text)
+    if bare is None:
         raise StoreError(Fault.INVALID_ARGUMENT, "fingerprint")
     return bare
 

@@ -15,19 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestore.operators import catalogue as C
-from lodestore.operators.sieve import COLUMNS, RESULT, Sieve, fold
+from lodestore.operators.sieve import COLUMNS, RESULT, Sieve, even_budget, fold, on_each_shard
 
 
-def replay_stream(trace: DataFrame, limit: int) -> DataFrame:
+def replay_stream(trace: DataFrame, limit: int, shards: int | None = None) -> DataFrame:
     """Outcomes of a streaming trace ``(shard, seq, op, key, cost)``, in append mode.
 
-    Rows of one micro-batch are put in order; rows must not arrive in a later
-    micro-batch than one with a larger ``seq`` of their shard.
+    Each shard has ``limit``; with ``shards`` that is the whole cache's, dealt evenly,
+    and ``resize``, ``clear`` and ``purge`` reach every shard. An entry larger than its
+    shard's limit is refused, as shards don't touch each other here. Rows of one
+    micro-batch are put in order; rows must not arrive in a later micro-batch than one
+    with a larger ``seq`` of their shard.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cache = Sieve.load(json.loads(state.get[0])) if state.exists else Sieve(limit)
+        own = lambda whole: even_budget(max(1, whole), shards)[int(key[0])] if shards else whole
+        cache = Sieve.load(json.loads(state.get[0])) if state.exists else Sieve(own(limit))
         pdf = pd.concat(list(parts)).sort_values("seq")
+        pdf["cost"] = [own(c) if op == "resize" else c for op, c in zip(pdf["op"], pdf["cost"].tolist())]
         out = list(fold(cache, zip(pdf["shard"].tolist(), pdf["seq"].tolist(), pdf["op"], pdf["key"], pdf["cost"].tolist())))
         state.update((json.dumps(cache.dump()),))
         yield pd.DataFrame(out, columns=COLUMNS)
@@ -35,6 +40,8 @@ def replay_stream(trace: DataFrame, limit: int) -> DataFrame:
     # A null cost counts as 1, and a column without nulls stays whole numbers in pandas.
     cost = F.coalesce(F.col("cost").cast("long"), F.lit(1).cast("long")).alias("cost")
     rows = trace.select(F.col("shard").cast("int"), F.col("seq").cast("long"), "op", "key", cost)
+    if shards:
+        rows = on_each_shard(rows, shards)
     return rows.groupBy("shard").applyInPandasWithState(step, RESULT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestore.operators import catalogue as C
-from lodestore.operators.sieve import Sieve
+from lodestore.operators.sieve import Sieve, replay
 from lodestore.streaming import replay as R
 
 
@@ -25,6 +25,18 @@ def test_replay_keeps_state_between_batches(spark, tmp_path):
     assert {r.seq: r.hit for r in spark.table("replayed").collect()} == want
 
 
+def test_streamed_global_operations_equal_the_batch_replay(spark, tmp_path):
+    rows = [(i % 4 if i % 25 else None, i, ["put", "get", "put", "remove"][i % 4] if i % 25 else ["resize", "clear", "purge"][i // 25 % 3], str(i * 7 % 23), 1 + i % 3 if i % 25 else 40 + i) for i in range(300)]
+    schema = "shard int, seq long, op string, key string, cost long"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    run(R.replay_stream(stream, 60, 4), "replayed_globally")
+    got = sorted(map(tuple, spark.table("replayed_globally").collect()), key=lambda r: (r[1], r[0]))
+    want = replay(spark.createDataFrame(rows, schema), 60, 4).collect()
+    assert got == sorted(map(tuple, want), key=lambda r: (r[1], r[0])) and len(got) == 300 + 3 * 12
+
+
 def test_commits_are_idempotent(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a", "s"), (2, "a", "s"), (3, "b", "s")], "doc_id long, text string, source string")
     batch = C.describe(docs, "text", "source", "doc_id")
