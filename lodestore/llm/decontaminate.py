@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import arrow_pass, filter_texts, text_rows
+from lodestore.llm.common import arrow_pass, filter_texts, scratch_path, text_rows
+
+#: Verifications of one text that are remembered at most.
+TRIED = 100_000
 
 
 def normal(text: bytes) -> str:
@@ -145,6 +151,8 @@ class Matcher:
                     key = (item, low, high, at)
                     got = tried.get(key)
                     if got is None:
+                        if len(tried) >= TRIED:
+                            tried.clear()
                         got = tried[key] = self._distance(item, low, high, text, at + cuts[low])
                     if got[0] > high - low - 1:
                         got = None
@@ -154,6 +162,27 @@ class Matcher:
         return [(item, *best[item]) for item in sorted(best)]
 
 
+def write_blocks(benchmark: DataFrame, block_chars: int, item_col: str = "item_id", item_text_col: str = "text") -> list[str]:
+    """The items in files of about ``block_chars`` characters each in the shared folder,
+    dealt by their hash; the files' folders. The driver sees no item."""
+    spark, folder = benchmark.sparkSession, scratch_path(benchmark.sparkSession, "benchmark")
+    rows = benchmark.select(*text_rows(item_col, item_text_col))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = -(-total // block_chars)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n))).cast("int")
+    dealt = rows.withColumn("block", block).repartitionById(max(1, n), "block")
+    dealt.write.partitionBy("block").parquet(folder)
+    return [f"{folder}/block={r.block}" for r in spark.read.parquet(folder).select("block").distinct().orderBy("block").collect()] if n else []
+
+
+@lru_cache(maxsize=1)
+def matcher_of(path: str, rate: float) -> tuple[Matcher, list[int | None]]:
+    """The automaton of a block and its items' identifiers, made once a worker."""
+    store, at = fs.FileSystem.from_uri(path)
+    table = pq.read_table(at, filesystem=store, columns=["doc_id", "text"], partitioning=None)
+    return Matcher([(k, normal(t)) for k, t in enumerate(table["text"].to_pylist())], rate), table["doc_id"].to_pylist()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, distance, end)``: the items found in each document.
 
@@ -161,51 +190,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block
     characters is found if a substring of the text is within ``floor(rate * n)``
     edits of it. Cut into one piece more than that, an item within budget has a piece
     that occurs unchanged, which an Aho-Corasick automaton of all pieces finds;
-    Myers' algorithm verifies the stretches around it, from a few pieces to all. The items travel in blocks of at
-    most ``block_chars`` characters, each run against all documents, so what a task
-    holds doesn't grow with the benchmark. Null and empty items match nothing, null
-    and empty texts hold nothing; null identifiers are kept; repeated documents and
-    items each count; the result has no row for a clean document.
+    Myers' algorithm verifies the stretches around it, from a few pieces to all. Of
+    equal distances the one that ends first in the text's order of pieces is given.
+
+    The items lie in blocks of about ``block_chars`` bytes in the shared folder, each
+    run against all documents, so neither a task nor the driver holds the benchmark.
+    Null and empty items match nothing, null and empty texts hold nothing; invalid UTF-8
+    is replaced by U+FFFD; a long text is searched whole; null identifiers are kept;
+    repeated documents and items each count; extra columns are ignored; the result has
+    no row for a clean document, and none for an empty table.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())])
 
-    def against(items: list[tuple[int, str]], ids: list) -> DataFrame:
+    def against(path: str | None) -> DataFrame:
         def run(batches: Iterator[dict]) -> Iterator[dict]:
-            matcher = Matcher(items, rate)
             for b in batches:
+                matcher, ids = matcher_of(path, rate) if path else (Matcher([], rate), [])
                 rows = [(i, ids[m[0]], *m[1:]) for i, t in zip(b["doc_id"].to_pylist(), b["text"]) for m in matcher.find(normal(t.as_py()))]
                 yield {n: [r[j] for r in rows] for j, n in enumerate(schema.names)}
 
         return docs.select(*text_rows(id_col, text_col)).mapInArrow(arrow_pass(run, schema), "doc_id long, item_id long, distance int, end long")
 
     out = None
-    for block in blocks(benchmark, block_chars, item_col, item_text_col):
-        found = against([(k, t) for k, (_, t) in enumerate(block)], [i for i, _ in block])
-        out = found if out is None else out.unionAll(found)
-    return against([], []) if out is None else out
-
-
-def blocks(benchmark: DataFrame, block_chars: int, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[list[tuple[int | None, str]]]:
-    """The benchmark's items, normalised, streamed to the driver block by block."""
-    block, chars = [], 0
-    for row in benchmark.select(F.col(f"`{item_col}`").cast("long"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit(""))).toLocalIterator():
-        text = normal(row[1].encode("utf-8", "replace"))
-        if block and chars + len(text) > block_chars:
-            yield block
-            block, chars = [], 0
-        block.append((row[0], text))
-        chars += len(text)
-    if block:
-        yield block
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000, text_col: str = "text") -> DataFrame:
+    for path in write_blocks(benchmark, block_chars, item_col, item_text_col):
+        out = against(path) if out is None else out.unionAll(against(path))
+    return against(None) if out is None else out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that hold no item of the benchmark, with all their columns."""
-    for block in blocks(benchmark, block_chars):
-        items = [(k, t) for k, (_, t) in enumerate(block)]
+    for path in write_blocks(benchmark, block_chars, item_col, item_text_col):
 
-        def make(items: list[tuple[int, str]] = items):
-            matcher = Matcher(items, rate)
+        def make(path: str = path):
+            matcher, _ = matcher_of(path, rate)
             return lambda text: not matcher.find(normal(text))
 
         docs = filter_texts(docs, text_col, make)

@@ -16,6 +16,8 @@ from lodestore.llm.common import arrow_pass, text_rows
 
 #: The mark for a space.
 SPACE = "▁"
+#: Characters of a long stretch that are segmented at a time.
+BLOCK = 1 << 16
 #: How far an unknown character scores below the vocabulary's least score.
 UNKNOWN_PENALTY = 10.0
 
@@ -79,6 +81,7 @@ class PieceCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(vocabulary.values()) - UNKNOWN_PENALTY
+        self.longest = max(map(len, vocabulary))
         self.single = {p for p in vocabulary if len(p) == 1}
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in vocabulary}
         self.known: dict[str, int] = {}
@@ -90,8 +93,11 @@ class PieceCounter:
 
     def stretch(self, text: str) -> int:
         """The pieces of one stretch, by dynamic programming over its positions that
-        carries only the best score and count."""
+        carries only the best score and count; over a long stretch a block of positions
+        and as many before it as the longest piece has are held."""
         n = len(text)
+        if n > BLOCK:
+            return self._long_stretch(text)
         if self.single.issuperset(text):  # no unknown can win: each position is reached by pieces
             top, pieces = [0.0] + [-math.inf] * n, [0] * (n + 1)
             # The automaton gives the matches that end at a position longest first.
@@ -100,31 +106,40 @@ class PieceCounter:
                 if total > top[end + 1]:
                     top[end + 1], pieces[end + 1] = total, pieces[end + 1 - size] + 1
             return pieces[n]
-        best: list[float | None] = [None] * (n + 1)
-        best[0] = 0.0
+        return self._long_stretch(text)
+
+    def _long_stretch(self, text: str) -> int:
+        best: list[float | None] = [0.0]
         # Pieces before a trailing run of unknowns, and where that run began (-1: none).
-        count, begun = [0] * (n + 1), [-1] * (n + 1)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            matches[end].append(found)
-        for end in range(n):
-            top, at, is_unknown = None, 0, False
-            # Longest first, so by rising beginning: only a larger sum replaces.
-            for size, score in sorted(matches[end], reverse=True):
-                start = end + 1 - size
-                if best[start] is not None and (top is None or best[start] + score > top):
-                    top, at = best[start] + score, start
-            if text[end] not in self.single and (top is None or best[end] + self.unknown > top):
-                top, at, is_unknown = best[end] + self.unknown, end, True
-            best[end + 1] = top
-            if is_unknown:
-                begun[end + 1] = begun[at] if begun[at] >= 0 else at
-                count[end + 1] = count[at]
-            else:
-                count[end + 1] = count[at] + 1
-                if begun[at] >= 0:
-                    count[end + 1] += self._cost_of_unknown(text[begun[at] : at])
-        return count[n] + (self._cost_of_unknown(text[begun[n] :]) if begun[n] >= 0 else 0)
+        count, begun, base = [0], [-1], 0
+        for first in range(0, len(text), BLOCK):
+            last = min(len(text), first + BLOCK)
+            drop = max(0, first - self.longest) - base
+            if drop > 0:
+                del best[:drop], count[:drop], begun[:drop]
+                base += drop
+            matches: list[list[tuple[int, float]]] = [[] for _ in range(last - first)]
+            for end, found in self.automaton.iter(text, max(0, first - self.longest), last):
+                if end >= first:
+                    matches[end - first].append(found)
+            for end in range(first, last):
+                top, at, is_unknown = None, 0, False
+                # Longest first, so by rising beginning: only a larger sum replaces.
+                for size, score in sorted(matches[end - first], reverse=True):
+                    start = end + 1 - size - base
+                    if best[start] is not None and (top is None or best[start] + score > top):
+                        top, at = best[start] + score, start
+                here = end - base
+                if text[end] not in self.single and (top is None or best[here] + self.unknown > top):
+                    top, at, is_unknown = best[here] + self.unknown, here, True
+                best.append(top)
+                if is_unknown:
+                    begun.append(begun[at] if begun[at] >= 0 else at + base)
+                    count.append(count[at])
+                else:
+                    begun.append(-1)
+                    count.append(count[at] + 1 + (self._cost_of_unknown(text[begun[at] : at + base]) if begun[at] >= 0 else 0))
+        return count[-1] + (self._cost_of_unknown(text[begun[-1] :]) if begun[-1] >= 0 else 0)
 
     def count(self, text: str) -> int:
         if not text:
@@ -133,7 +148,8 @@ class PieceCounter:
         if text[0] != SPACE:
             text = SPACE + text
         total = 0
-        for part, times in Counter(re.findall(f"{SPACE}[^{SPACE}]*", text)).items():
+        # One after the other: a long text has more stretches than distinct ones.
+        for part, times in Counter(m.group() for m in re.finditer(f"{SPACE}[^{SPACE}]*", text)).items():
             got = self.known.get(part)
             if got is None:
                 got = self.stretch(part)
@@ -150,8 +166,9 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str =
 
     ``pieces`` is a vocabulary of fixed size with its scores (``read_pieces``), sent
     to the executors once. Null and empty texts have 0 tokens; null identifiers and
-    repeated rows stay; an empty table gives an empty result; extra columns are
-    ignored. A stretch without spaces is segmented whole, whatever its length.
+    repeated rows stay; invalid UTF-8 is replaced by U+FFFD; an empty table gives an
+    empty result; extra columns are ignored. A stretch without spaces is segmented
+    whole, whatever its length, in memory for a block of it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
