@@ -2,56 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but the ASCII white space below.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a temporary folder; a
-    cluster session without it is an error.
-    """
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="lodestore-")
-    return f"file://{_own_dir}"
-
+from lodestore.sources.scratch import discard, drop_path, materialise, scratch_path, shared_dir
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestore/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage
-    and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder, wherever Spark can reach it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["WORD", "arrow_pass", "discard", "drop_path", "filter_texts", "held_out", "materialise", "scratch_path", "shared_dir", "text_rows"]
 
+#: A word: a run of anything but the ASCII white space below.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def text_rows(id_col: str, text_col: str, more: tuple[str, ...] = ()) -> list[Column]:
     """Only the columns an Arrow pass needs; the text as UTF-8 bytes, null as empty, what

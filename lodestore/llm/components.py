@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import materialise
+from lodestore.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(v.alias("u"), F.col("m").alias("v")), F.struct(u, F.col("m").alias("v")))).alias("e"))
-        pairs = materialise(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
+        old, pairs = pairs, materialise(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
+        discard(old)
         after = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return pairs.select(u.alias("node"), v.alias("component")).unionAll(pairs.select(v.alias("node"), v.alias("component")).distinct())

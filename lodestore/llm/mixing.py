@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import WORD, materialise
+from lodestore.llm.common import WORD, discard, materialise
 
 #: Scale at which sums are kept as whole numbers, so that reruns agree to the last bit.
 FIXED = "decimal(38,9)"
+#: Iterations after which a source that isn't at its target yet only bisects.
+BISECT = 40
 #: The tilt of a source that takes every document as often as it may.
 ALL = 1e12
 
@@ -50,15 +52,16 @@ def tilted_rate(tilt: Column, size: Column, scale: Column, most: float) -> Colum
     return F.lit(float(most)) / (1 + (most - 1) * F.exp(-x))
 
 
-def balance(classes: DataFrame, targets: DataFrame, most: float = 3.0, tolerance: float = 1e-6, steps: int = 60) -> DataFrame:
+def balance(classes: DataFrame, targets: DataFrame, most: float = 3.0, tolerance: float = 1e-6, steps: int = 200) -> DataFrame:
     """``(source, tilt, scale)``: the convex dual's solution, by Newton iterations.
 
     ``classes (source, size, n)`` counts documents by size, which is all a rate
     depends on. Each iteration is one aggregation of the gradient and curvature by
     source and an update of all tilts; a source whose step would leave the bracket
-    of the signs seen so far bisects it instead, so every iteration shrinks it.
-    Stops when all sources are within ``tolerance`` of their targets, or after
-    ``steps``. A target at ``most`` times the size, or of 0, is met in the limit.
+    of the signs seen so far bisects it instead, as does every source after
+    ``BISECT`` iterations, so the bracket shrinks to a point. Stops when all sources are
+    within ``tolerance`` of their targets; not to get there in ``steps`` is an error. A
+    target at ``most`` times the size, or of 0, is met in the limit.
     """
     hist = classes.where("size > 0")
     scale = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
@@ -67,7 +70,7 @@ def balance(classes: DataFrame, targets: DataFrame, most: float = 3.0, tolerance
     capped = F.col("target") >= F.col("source_size") * F.lit(most * (1 - 1e-12))
     state = targets.join(scale, targets.source.eqNullSafe(scale.source)).select(targets.source, "target", "scale", F.when(capped, F.lit(ALL)).otherwise(F.lit(0.0)).alias("tilt"), *k)
     state = materialise(state, "tilts")
-    for _ in range(steps):
+    for step in range(steps):
         s = state.select(F.col("source").alias("s"), "target", "scale", "tilt", "low", "high")
         # One row a source: AQE broadcasts it when its measured size allows and splits the hot source otherwise.
         rows = hist.join(s, hist.source.eqNullSafe(s.s))
@@ -79,14 +82,16 @@ def balance(classes: DataFrame, targets: DataFrame, most: float = 3.0, tolerance
         sums = sums.withColumn("gap", gap / F.greatest(F.col("target"), F.lit(1.0)))
         sums = sums.withColumn("low", F.when(F.col("gap") < 0, F.greatest("low", "tilt")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("gap") > 0, F.least("high", "tilt")).otherwise(F.col("high")))
         newton = F.col("tilt") - F.greatest(F.lit(-4.0), F.least(F.lit(4.0), gap / F.greatest(F.col("bend"), F.lit(1e-9))))
-        outside = (newton <= F.col("low")) | (newton >= F.col("high"))
+        outside = (newton <= F.col("low")) | (newton >= F.col("high")) | F.lit(step >= BISECT)
         newton = F.when(outside, F.coalesce((F.col("low") + F.col("high")) / 2, newton)).otherwise(newton)
         done = (F.abs(F.col("gap")) <= tolerance) | (F.col("tilt") >= ALL)
-        state = materialise(sums.select(F.col("s").alias("source"), "target", "scale", F.when(done, F.col("tilt")).otherwise(newton).alias("tilt"), "low", "high", F.col("gap")), "tilts")
+        old, state = state, materialise(sums.select(F.col("s").alias("source"), "target", "scale", F.when(done, F.col("tilt")).otherwise(newton).alias("tilt"), "low", "high", F.col("gap")), "tilts")
+        discard(old)
         worst = state.agg(F.max(F.when(F.col("tilt") < ALL, F.abs("gap")))).first()[0]
-        state = state.drop("gap")
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"a source is {worst} of its target off after {steps} iterations")
     return state.select("source", "tilt", "scale", "target")
 
 
@@ -121,13 +126,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     ``size`` counts the words, ``copies`` how often the mix repeats the document
     (0 to ``most``) and ``taken = copies * size`` the words it takes. A class's copies
     go to its documents evenly in the order of a hash of the identifier; classes of
-    more than ``block`` documents are first split by that hash, so that no group
-    grows with the number of equal documents. Null and empty texts have size 0 and
+    more than ``block`` documents are first split by that hash (documents without an
+    identifier, which are all alike, at random), so that no group grows with the number
+    of equal documents. Extra columns are ignored. Null and empty texts have size 0 and
     take nothing; a null source is a source of its own, the last; rows with equal
     identifiers are separate documents; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.monotonically_increasing_id())).alias("salt"))
     rows = materialise(rows, "sizes")
     classes = materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
     targets = materialise(source_targets(classes.select("source", (F.col("size") * F.col("n")).alias("size")), weights, float(most)), "targets")
@@ -137,14 +143,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
 
     # A split class's parts: their documents are counted, and get the copies between
     # the roundings of what came before them and with them.
-    keyed = lambda df: df.withColumn("part", F.pmod(F.xxhash64("doc_id"), "split").cast("int"))
+    place = F.when(F.col("salt").isNull(), F.pmod(F.xxhash64("doc_id"), "split")).otherwise(F.col("split") + F.pmod("salt", F.col("split")))
+    keyed = lambda df: df.withColumn("part", place.cast("int"))
     c = shares.select(F.col("source").alias("cs"), F.col("size").alias("cz"), "n", "copies", "split")
     dealt = keyed(rows.where("size > 0").join(c, rows.source.eqNullSafe(c.cs) & (rows.size == c.cz)).drop("cs", "cz"))
     parts = dealt.groupBy("source", "size", "part", "n", "copies").agg(F.count("*").alias("m"))
     so_far = Window.partitionBy("source", "size").orderBy("part")
     end = F.sum("m").over(so_far)
-    upto = lambda x: F.floor(x * F.col("copies") / F.col("n"))
-    parts = parts.select(F.col("source").alias("ps"), F.col("size").alias("pz"), F.col("part").alias("pp"), "m", (upto(end) - upto(end - F.col("m"))).alias("share"))
+    # Whole numbers of 38 digits: the products of a class's documents and copies pass a long.
+    upto = lambda x: F.expr(f"(cast({x} as decimal(19, 0)) * cast(copies as decimal(19, 0))) div cast(n as decimal(19, 0))")
+    parts = parts.withColumn("end", end).withColumn("begin", F.col("end") - F.col("m"))
+    parts = parts.select(F.col("source").alias("ps"), F.col("size").alias("pz"), F.col("part").alias("pp"), "m", (upto("end") - upto("begin")).alias("share"))
     at = dealt.drop("n", "copies").join(parts, dealt.source.eqNullSafe(parts.ps) & (dealt.size == parts.pz) & (dealt.part == parts.pp))
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
     at = at.withColumn("rank", rank)

@@ -303,53 +303,72 @@ LOOSE = 80
 SHINGLES = 2_000_000
 
 
-def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, most: int = SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(node, keeper, kept_node)``: the group of each distinct text, by the 64-bit
-    hash ``node`` of its bytes: the group's smallest identifier, and the text it has.
+def _hashed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """``(own, text, h, check)``: the identifier, the text (null as empty) and two hashes
+    that together tell texts apart: 128 bits."""
+    text = F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("own"), text.alias("text"), *more)
+    return rows.withColumn("h", F.xxhash64("text")).withColumn("check", F.xxhash64(F.lit(1), "text"))
 
-    Two texts are linked if the Jaccard similarity of their distinct ``n``-word
-    shingles is at least ``similarity``, counted on the whole sets of 64-bit hashes
-    (texts without words are alike). To find such pairs, texts that share a band of
-    MinHash values and differ in at most ``LOOSE`` bits of a wide fingerprint are
-    chained to clusters, whose texts are then compared exactly; a cluster of over
-    ``most`` shingles is split into blocks and every pair of blocks compared. The
-    bands are made for a ``similarity`` of 0.8 and more. Covering tables can't
-    nominate here: at 0.8 about 10 and up to 20 of 64 bits differ, and tables for so
-    many have keys of too few bits to tell texts apart.
-    """
+
+def _classes(docs: DataFrame, n: int, similarity: float, most: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(h, check, component)`` of each distinct text, and of each component its first
+    text: ``(component, least, h, check)``. See ``similar_groups``."""
     if similarity < 0.8:
         raise ValueError("the bands miss pairs of a similarity below 0.8")
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64())])
+    schema = pa.schema([("own", pa.int64()), ("h", pa.int64()), ("check", pa.int64()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        hash64 = xxhash.xxh64_intdigest
         for b in batches:
-            nodes, wides, bands, sizes = [], [], [], []
-            for t in b["text"]:
-                text = t.as_py()
-                shingles = np.unique(shingle_hashes(text.lower().split(), n))
-                nodes.append(signed(hash64(text, 42)))
+            wides, bands, sizes = [], [], []
+            for t in b["text"].cast(pa.binary()):
+                shingles = np.unique(shingle_hashes(t.as_py().lower().split(), n))
                 wides.append(wide_majority(shingles))
                 bands.append(band_keys(shingles))
                 sizes.append(len(shingles))
-            yield {"doc_id": b["doc_id"], "node": nodes, "wide": wides, "bands": bands, "size": sizes}
+            yield {k: b[k] for k in ("own", "h", "check")} | {"wide": wides, "bands": bands, "size": sizes}
 
-    marks = docs.select(*text_rows(id_col, text_col)).mapInArrow(arrow_pass(run, schema), "doc_id long, node long, wide binary, bands array<long>, size long")
-    points = marks.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("wide", "bands", "size")])
-    points = materialise(points, "points")
+    texts = _hashed(docs, f"`{id_col}`", f"`{text_col}`")
+    marks = texts.mapInArrow(arrow_pass(run, schema), "own long, h long, check long, wide binary, bands array<long>, size long")
+    points = marks.groupBy("h", "check").agg(F.min("own").alias("least"), *[F.first(c).alias(c) for c in ("wide", "bands", "size")])
+    # Written once, so the numbers stay as they are: a node of its own for each text.
+    points = materialise(points.withColumn("node", F.monotonically_increasing_id()), "points")
     entries = points.select("node", F.lit(0).cast("long").alias("fp"), "wide", F.posexplode("bands").alias("t", "key"))
     clusters = connected_components(bucket_links(entries, 0, LOOSE)).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
     # Only a row that has a text's smallest identifier stands for it, so that copies meet nowhere.
-    members = materialise(clusters.join(points, F.col("member") == points.node).select("cluster", "node", "wide", "size", *_named("least")), "members")
+    members = materialise(clusters.join(points, F.col("member") == points.node).select("cluster", "node", "h", "check", "wide", "size", *_named("least")), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / most).cast("int").alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1)))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), text.alias("text")).select("text", F.xxhash64("text").alias("node"), *_named("own"))
-    texts = texts.join(members, ["i", "unnamed", "node"]).dropDuplicates(["i", "unnamed", "node"]).join(blocks, "cluster")
-    links = exact_links(texts.select("cluster", "node", "wide", "blocks", F.col("text").cast("binary").alias("text")), n, similarity)
-    found = connected_components(links).select(F.col("node").alias("member"), "component")
-    classes = points.join(found, points.node == found.member, "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    first = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "node")).alias("first"))
-    return classes.join(first, "component").select("node", F.col("first.least").alias("keeper"), F.col("first.node").alias("kept_node"))
+    key = ["i", "unnamed", "h", "check"]
+    found = texts.select("text", "h", "check", *_named("own")).join(members, key).dropDuplicates(key).join(blocks, "cluster")
+    links = exact_links(found.select("cluster", "node", "wide", "blocks", F.col("text").cast("binary").alias("text")), n, similarity)
+    joined = connected_components(links).select(F.col("node").alias("member"), "component")
+    classes = points.join(joined, points.node == joined.member, "left").select("h", "check", "least", F.coalesce("component", "node").alias("component"))
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "h", "check")).alias("first"))
+    return classes, first.select("component", "first.least", "first.h", "first.check")
+
+
+def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, most: int = SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(h, check, keeper, kept_h, kept_check)``: the group of each distinct text, by
+    two 64-bit hashes of its bytes: the group's smallest identifier, and the text it has.
+
+    Two texts are linked if the Jaccard similarity of their distinct ``n``-word
+    shingles is at least ``similarity``, counted on the whole sets of 64-bit hashes
+    (texts without words are alike). To find such pairs, texts that share a band of
+    MinHash values and differ in at most ``LOOSE`` bits of a wide fingerprint are
+    chained to clusters, whose texts are then compared exactly; a cluster of over
+    ``most`` shingles is split into blocks and every pair of blocks compared. The
+    bands are made for a ``similarity`` of 0.8 and more. Covering tables can't
+    nominate here: at 0.8 about 10 and up to 20 of 64 bits differ, and tables for so
+    many have keys of too few bits to tell texts apart.
+
+    Null and empty texts are one text; invalid UTF-8 is replaced by U+FFFD; a long
+    text's shingles are held by one task at a time; repeated rows are one text; null
+    identifiers come last; an empty table gives an empty result; extra columns are
+    ignored.
+    """
+    classes, first = _classes(docs, n, similarity, most, id_col, text_col)
+    kept = first.select("component", F.col("least").alias("keeper"), F.col("h").alias("kept_h"), F.col("check").alias("kept_check"))
+    return classes.join(kept, "component").select("h", "check", "keeper", "kept_h", "kept_check")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,12 +378,11 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
     Empty and null texts are one group. Of repeated rows of the kept document one
     stays. An empty table gives an empty result; extra columns pass through.
     """
-    groups = similar_groups(docs, n, similarity, id_col=id_col, text_col=text_col)
+    _, first = _classes(docs, n, similarity, SHINGLES, id_col, text_col)
     # Both sides share one non-null key, so that the join and the window shuffle once.
-    kept = materialise(groups.select(*_named("keeper"), F.col("kept_node").alias("h")).distinct(), "kept")
+    kept = materialise(first.select(*_named("least"), "h", "check"), "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    text = F.coalesce(F.col(f"r.`{text_col}`").cast("string"), F.lit(""))
-    rows = rows.select("r", F.col(f"r.`{id_col}`").cast("long").alias("own"), F.xxhash64(text).alias("h")).select("r", *_named("own"), "h")
-    key = ["i", "unnamed", "h"]
+    rows = _hashed(rows, f"r.`{id_col}`", f"r.`{text_col}`", "r").select("r", *_named("own"), "h", "check")
+    key = ["i", "unnamed", "h", "check"]
     turn = F.row_number().over(Window.partitionBy(*key).orderBy("h"))
     return rows.join(kept.hint("merge"), key).withColumn("turn", turn).where("turn = 1").select("r.*")

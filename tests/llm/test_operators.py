@@ -219,6 +219,34 @@ def test_mixing(spark, seed):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(make(spark, rows, n=5), block=20).collect()))
 
 
+def test_mixing_of_odd_rows(spark):
+    """A third of the rows without identifier and of one size, clashing names."""
+    rows = [(None if i % 3 == 0 else i, "w " * (5 if i % 3 == 0 else i % 9), "ab"[i % 2], 1, 2, 3) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, n int, target int")
+    got = mixing.mix(df, block=25).collect()
+    assert len(got) == 900
+    want = water_level({s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in "ab"})
+    for s, t in want.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - t) <= 12
+
+
+def test_mixing_counts_beyond_a_long(spark):
+    """A class of 4 billion documents of which each is taken three times."""
+    n = 4_000_000_000
+    row = spark.createDataFrame([(n, 3 * n, n - 1)], "n long, copies long, x long")
+    assert row.selectExpr("(cast(x as decimal(19, 0)) * cast(copies as decimal(19, 0))) div cast(n as decimal(19, 0)) AS v").first().v == 3 * (n - 1)
+
+
+def test_mixing_that_does_not_settle_is_an_error(spark):
+    classes = spark.createDataFrame([("a", 5, 10), ("a", 7, 3)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 71, 100.0)], "source string, source_size long, target double")
+    with pytest.raises(RuntimeError, match="off after 2"):
+        mixing.balance(classes, targets, steps=2, tolerance=1e-12)
+    (tilt,) = mixing.balance(classes, targets).collect()
+    rate = lambda z: 3 / (1 + 2 * math.exp(-tilt.tilt * z / tilt.scale))
+    assert math.isclose(10 * 5 * rate(5) + 3 * 7 * rate(7), 100, rel_tol=1e-6)
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(make(spark, [])).count() == 0
     got = mixing.mix(make(spark, [(1, "", "a", "e"), (2, None, None, "e")])).collect()
@@ -247,6 +275,19 @@ def test_rules_and_native_plan(spark):
     assert urlfilter.judge(df.limit(0), Q.RULES).count() == 0
 
 
+def test_rules_of_odd_rows(spark):
+    """Equally long rules, equal ratios, repeated rows, clashing names, a long url."""
+    rules = [urlfilter.Rule("a.b", "/cc", True), urlfilter.Rule("b", "/ccdd", False)]
+    long = "http://x.org/" + "z" * 200_000
+    urls = ["http://a.b/ccdd", "http://a.b/ccdd", "http://a.b/cc", "http://c.b/ccdd/1", "http://x.org/", "http://x.org/", None, long]
+    df = make(spark, [(i // 2, u, "x", 1, 2.0) for i, u in enumerate(urls)], "page_id long, url string, text string, best int, llr double")
+    got = Counter((r.page_id, r.rule, r.path[:9]) for r in urlfilter.judge(df, rules, order=3).collect())
+    # a.b/cc and b/ccdd are equally long: the last by text decides.
+    assert got == Counter({(0, "b/ccdd", "/ccdd"): 2, (1, "a.b/cc", "/cc"): 1, (1, "b/ccdd", "/ccdd/1"): 1, (2, None, "/"): 2, (3, None, ""): 1, (3, None, "/zzzzzzzz"): 1})
+    same = {(r.page_id, r.verdict) for r in urlfilter.judge(df, rules, order=3).where("page_id = 2").collect()}
+    assert len(same) == 1
+
+
 def test_markov_ratio(spark):
     yes, no, order = ["abab", "aab", "b"], ["bbb", "cab"], 3
     texts = [(t, True) for t in yes] + [(t, False) for t in no]
@@ -556,7 +597,28 @@ def test_stage_links_by_exact_similarity(spark, most):
     assert 20 < len(pairs) and len(set(group)) > 60
     got = simhash.similar_groups(make(spark, [(i, t, "s", "e") for i, t in enumerate(texts)]), most=most).collect()
     nodes = {simhash.signed(xxhash.xxh64_intdigest((t or "").encode(), 42)): group[i] for i, t in enumerate(texts)}
-    assert {r.node: r.keeper for r in got} == nodes and len(got) == len(nodes)
+    assert {r.h: r.keeper for r in got} == nodes and len(got) == len(nodes)
+
+
+ODD = "SELECT 1L AS doc_id, cast(X'6120FF20622063206420652066' AS string) AS text, {more} UNION ALL SELECT 2L, cast(X'6120FF20622063206420652066' AS string), {more} UNION ALL SELECT 2L, cast(X'6120FF20622063206420652066' AS string), {more} UNION ALL SELECT 3L, repeat('long text of twenty megabytes ', 700000), {more} UNION ALL SELECT 4L, repeat('long text of twenty megabytes ', 700000), {more} UNION ALL SELECT 5L, 'something else', {more} UNION ALL SELECT cast(NULL AS bigint), 'something else', {more}"
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Invalid UTF-8, repeated rows, texts of 20 MB, a null identifier, clashing names."""
+    df = spark.sql(ODD.format(more="7 AS fp, 8 AS node, 9 AS component, 'x' AS h, 'y' AS check, 'z' AS own"))
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == Counter({(1, 1): 1, (2, 1): 2, (3, 3): 1, (4, 3): 1, (5, 5): 1, (None, 5): 1})
+    kept = simhash.drop_near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.fp, r.h) for r in kept) == [(1, 7, "x"), (3, 7, "x"), (5, 7, "x")]
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 == simhash.drop_near_duplicates(df.limit(0)).count()
+
+
+def test_texts_with_one_hash_stay_apart(spark, monkeypatch):
+    """Two texts are one only if both their hashes are equal."""
+    real = simhash._hashed
+    monkeypatch.setattr(simhash, "_hashed", lambda *a: real(*a).withColumn("h", F.lit(5).cast("long")))
+    docs = make(spark, [(1, "one two three four five six", "s", "e"), (2, "seven eight nine ten eleven", "s", "e"), (3, "one two three four five six", "s", "e")])
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 2]
 
 
 # ------------------------------------------------------------------- substring
@@ -671,6 +733,21 @@ def test_tie_rules_and_unknowns():
     assert counter.count("") == 0
 
 
+def test_long_stretches_are_counted_block_by_block(spark, monkeypatch):
+    rng = random.Random(12)
+    counter = tokens.PieceCounter([("▁", -1.0), ("a", -1.2), ("b", -1.1), ("ab", -2.0), ("▁a", -2.0), ("abbab", -3.0), ("ba", -2.5)])
+    texts = ["▁" + "".join(rng.choices("ab", k=k)) for k in (1, 2, 30, 31, 32, 400)] + ["▁" + "".join(rng.choices("ab??é", k=k)) for k in (3, 30, 64, 500)] + ["▁" + "?" * 100]
+    whole = [counter.stretch(t) for t in texts]
+    for size in (1, 7, 32):
+        monkeypatch.setattr(tokens, "BLOCK", size)
+        assert [counter.stretch(t) for t in texts] == whole
+    monkeypatch.undo()
+    pieces = [("▁", -1.0), ("a", -1.2), ("b", -1.1), ("ab", -2.0)]
+    df = spark.sql("SELECT 1L AS doc_id, repeat('ab', 3000000) AS text, 7 AS n_tokens UNION ALL SELECT 2L, cast(X'61FF62' AS string), 7 UNION ALL SELECT 2L, cast(X'61FF62' AS string), 7")
+    assert sorted(tuple(r) for r in tokens.token_counts(df, pieces).collect()) == [(1, 3_000_001), (2, 4), (2, 4)]
+    assert tokens.token_counts(df.limit(0), pieces).count() == 0
+
+
 # --------------------------------------------------------------- contamination
 
 
@@ -727,6 +804,15 @@ def test_contamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 == decontaminate.contaminated(docs.limit(0), bench).count()
 
 
+def test_contamination_of_odd_rows(spark):
+    """Invalid UTF-8, clashing names, repeated rows of both sides, a text of 6 MB."""
+    docs = spark.sql("SELECT 1L AS doc_id, concat(repeat('some words here ', 400000), 'the quick brown fox jumps') AS text, 5 AS item_id, 6 AS distance UNION ALL SELECT 2L, cast(X'74686520717569636B2062726F776E20666F78206A756D70FF' AS string), 5, 6 UNION ALL SELECT 2L, cast(X'74686520717569636B2062726F776E20666F78206A756D70FF' AS string), 5, 6 UNION ALL SELECT 3L, 'clean', 5, 6")
+    bench = spark.createDataFrame([(7, "The quick brown  fox jumps", 1), (7, "The quick brown  fox jumps", 1), (8, "of another kind", 1)], "item_id long, text string, block int")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert Counter((r.doc_id, r.item_id, r.distance) for r in got) == {(1, 7, 0): 2, (2, 7, 1): 4}
+    assert [(r.doc_id, r.item_id) for r in decontaminate.drop_contaminated(docs, bench).collect()] == [(3, 5)]
+
+
 # ------------------------------------------------------------------------ WARC
 
 
