@@ -347,7 +347,7 @@ def _settle(index: FingerprintIndex, packed: DataFrame, keep: bool) -> DataFrame
                     before.append(unpack(source.read(), SEEN))
         mine, old = least_documents(before), least_documents(held[OLD])
         entries = np.concatenate([np.empty(0, ENTRY), *held[OPEN]])
-        found = np.concatenate([*held[HIT], entries[convicted(entries, least_documents([mine, old]))]])
+        found = entries[convicted(entries, least_documents([mine, old]))]
         written = 0
         if keep:
             fresh = least_documents([old, entries])
@@ -362,11 +362,15 @@ def _settle(index: FingerprintIndex, packed: DataFrame, keep: bool) -> DataFrame
                     with store.open_output_stream(beside, compression=None) as out:
                         out.write(pack(some))
                     store.move(beside, f"{at}/{name}/{part}")
-        # One row a document of the bucket, and one that tells what was written.
-        found = found[np.lexsort((found["crc"], found["doc"]))]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(found["doc"]) != 0) | (np.diff(found["crc"]) != 0)])[: len(found)])
-        at = pa.ListArray.from_arrays(pa.array([*first, len(found), len(found)], pa.int32()), pa.array(found["pos"], pa.int32()))
-        return {"doc_id": [*found["doc"][first].tolist(), None], "crc": [*found["crc"][first].tolist(), 0], "at": at, "written": [*[0] * len(first), written]}
+        # A map chunk's own hits lie in their document's bucket: a row a document. The
+        # others are a row each, as a document's windows are dealt over all buckets.
+        whole = np.concatenate([np.empty(0, ENTRY), *held[HIT]])
+        whole = whole[np.lexsort((whole["crc"], whole["doc"]))]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(whole["doc"]) != 0) | (np.diff(whole["crc"]) != 0)])[: len(whole)])
+        rows, pos = np.concatenate([whole[first], found]), np.concatenate([whole["pos"], found["pos"]])
+        ends = np.concatenate([first, np.arange(len(whole), len(pos) + 1), [len(pos)]]).astype(np.int32)
+        at = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos, pa.int32()))
+        return {"doc_id": [*rows["doc"].tolist(), None], "crc": [*rows["crc"].tolist(), 0], "at": at, "written": [*[0] * len(rows), written]}
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, held = None, {k: [] for k in range(4)}
