@@ -19,6 +19,8 @@ Texts are split into tokens once: training and scoring read packed chunks of the
 
 from __future__ import annotations
 
+import mmap
+import sys
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -273,7 +275,9 @@ def map_arrays(path: str) -> Iterator[np.ndarray]:
     """The arrays of a file, memory-mapped; a file of a remote store is read into memory."""
     store, at_ = fs.FileSystem.from_uri(path)
     if isinstance(store, fs.LocalFileSystem):
-        data = np.memmap(at_, np.uint8, "r").view(np.ndarray)
+        with open(at_, "rb") as file:  # a mapping needs no open file, and there may be thousands
+            more = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+            data = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **more), np.uint8)
     else:
         with store.open_input_file(at_) as source:
             data = np.frombuffer(source.read_buffer(), np.uint8)
@@ -374,8 +378,9 @@ class Shard:
         return node, part, back[owner]
 
 
-#: Shards of a level that a worker keeps open; of a remote store they lie in its memory.
-OPEN = 64
+#: Shards that a worker keeps open: mapped ones, and those of a remote store, which lie in
+#: its memory.
+MAPPED, IN_MEMORY = 20_000, 64
 
 
 class Model:
@@ -383,13 +388,14 @@ class Model:
 
     def __init__(self, plan: Plan) -> None:
         self.plan, self.open = plan, OrderedDict()
+        self.most = MAPPED if sys.version_info >= (3, 13) and isinstance(fs.FileSystem.from_uri(plan.folder)[0], fs.LocalFileSystem) else IN_MEMORY
         self.first = [np.array(x, np.int64) for x in (plan.words, *plan.nodes)]
         self.hot = [(np.array(sorted(h), np.int64), np.array([h[k] for k in sorted(h)])) for h in plan.hot]
 
     def _opened(self, name: str, make):
         if name not in self.open:
             self.open[name] = make(f"{self.plan.folder}/{name}")
-            if len(self.open) > OPEN * (1 + len(self.hot)):
+            if len(self.open) > self.most:
                 self.open.popitem(last=False)
         self.open.move_to_end(name)
         return self.open[name]
@@ -529,8 +535,9 @@ def tokenise(docs: DataFrame, learn: Column | None = None, chunk: int = 2_000_00
     return rows.mapInArrow(arrow_pass(run, TOKENS), "ids array<long>, n long, learn binary, lengths binary, tokens binary, hashes binary")
 
 
-#: Tokens that are counted or scored at a time, but for a longer text.
-SLICE = 500_000
+#: Tokens that are counted or scored at a time, but for a longer text; scoring takes more
+#: where there are many shards, as each slice visits all of them, up to four times as many.
+SLICE, A_SHARD = 500_000, 4_000
 
 
 def unpacked(batches: Iterator[dict], only_learned: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -547,11 +554,11 @@ def unpacked(batches: Iterator[dict], only_learned: bool) -> Iterator[tuple[list
             yield b["ids"][i].as_py(), lengths, places, np.frombuffer(b["hashes"][i].as_py(), np.uint64)
 
 
-def slices(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Runs of texts of about ``SLICE`` tokens: the first text and the one after the
+def slices(lengths: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of texts of about ``size`` tokens: the first text and the one after the
     last, and so for their tokens."""
     ends = np.cumsum(lengths)
-    cut = np.flatnonzero(np.diff((ends - 1) // SLICE)) + 1
+    cut = np.flatnonzero(np.diff((ends - 1) // size)) + 1
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(lengths)]):
         yield a, b, int(ends[a] - lengths[a]), int(ends[b - 1])
 
@@ -702,7 +709,7 @@ def _train_level(rows: DataFrame, plan: Plan, level: int, least: int, discount:
             used[places] = True
             ids = np.full(len(hashes), -1, np.int64)
             ids[used] = model.identify(hashes[used])[0]
-            for a, b, i, j in slices(lengths):
+            for a, b, i, j in slices(lengths, SLICE):
                 columns, n = _grams(ids[places[i:j]], np.cumsum(lengths[a:b]) - lengths[a:b], end, level)
                 shard = home(first, columns[0])
                 for k, known in enumerate(keys):  # a hot context's children go to their own words' shards
@@ -772,7 +779,8 @@ def _train_level(rows: DataFrame, plan: Plan, level: int, least: int, discount:
     for r in found:
         for k, m in zip(r.hot, r.hot_mass):
             mass[k] += m
-    after = Plan(plan.folder, plan.shards, plan.total, plan.words, (*plan.nodes, nodes), (*plan.hot, {k: max(0.0, 1 - m) for k, m in mass.items()}))
+    back = {k: float(dequantise(quantise(np.array([1 - m]), WIDE_LEVELS, WIDE_LOWEST), WIDE_LEVELS, WIDE_LOWEST)[0]) for k, m in mass.items()}
+    after = Plan(plan.folder, plan.shards, plan.total, plan.words, (*plan.nodes, nodes), (*plan.hot, back))
     return found, after
 
 
@@ -783,7 +791,7 @@ def score_chunk(model: Model, lengths: np.ndarray, places: np.ndarray, hashes: n
     each = (all_counts + 1) / (plan.total + plan.distinct + 1)
     logs = np.log10(each)
     end_id = int(model.identify(np.array([END], np.uint64))[0][0])
-    for a, b, i, j in slices(lengths):
+    for a, b, i, j in slices(lengths, min(4 * SLICE, max(SLICE, A_SHARD * plan.shards))):
         mine, starts = places[i:j], np.cumsum(lengths[a:b]) - lengths[a:b]
         ids, p = all_ids[mine], each[mine]
         context = np.empty_like(ids)
@@ -795,7 +803,9 @@ def score_chunk(model: Model, lengths: np.ndarray, places: np.ndarray, hashes: n
             context = np.full_like(ids, -1)
             context[1:] = node[:-1]
             context[starts] = -1
-        yield np.add.reduceat((ids >= 0).astype(np.int64), starts), np.add.reduceat(logs[mine], starts), np.add.reduceat(np.log10(p), starts)
+        # Sums in extended precision don't depend on their order in the digits that stay.
+        base, own = (np.add.reduceat(x.astype(np.longdouble), starts).astype(np.float64) for x in (logs[mine], np.log10(p)))
+        yield np.add.reduceat((ids >= 0).astype(np.int64), starts), base, own
 
 
 def score(tokens: DataFrame, plan: Plan) -> DataFrame:

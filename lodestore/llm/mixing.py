@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     go to its documents evenly in the order of a hash of the identifier; classes of
     more than ``block`` documents are first split by that hash (documents without an
     identifier, which are all alike, at random), so that no group grows with the number
-    of equal documents. Extra columns are ignored. Null and empty texts have size 0 and
+    of equal documents. Long texts count like others; extra columns are ignored. Null and empty texts have size 0 and
     take nothing; a null source is a source of its own, the last; rows with equal
     identifiers are separate documents; an empty table gives an empty result.
     """

@@ -191,9 +191,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, id_col: str =
     Documents whose fingerprints differ in at most ``radius`` bits are linked;
     ``component_id`` is the smallest identifier reachable (nulls aside; null if all
     are null). Equal fingerprints collapse to one node first, so a group of copies
-    costs one point whatever its size. Empty texts share fingerprint zero and are
-    linked like any other; an empty table gives an empty result; extra columns are
-    ignored.
+    costs one point whatever its size. Null and empty texts share fingerprint zero and
+    are linked like any other; invalid UTF-8 is replaced by U+FFFD; a long text's hashes
+    are counted in blocks; repeated rows stay; an empty table gives an empty result;
+    extra columns are ignored.
     """
     marks = materialise(fingerprints(docs, n, id_col, text_col), "fingerprints")
     points = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")

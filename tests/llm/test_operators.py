@@ -216,6 +216,17 @@ def test_mixing(spark, seed):
         taken[r.source] += r.taken
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(12, 0.01 * t), (s, taken[s], t)
+        # An independent solver: bisection on the tilt over all the source's documents.
+        own = Counter(r.size for r in got if r.source == s and r.size)
+        scale = sizes[s] / sum(own.values())
+        rate = lambda z, tilt: 3 / (1 + 2 * math.exp(-max(-60.0, min(60.0, tilt * z / scale))))
+        low, high = -500.0, 500.0
+        while high - low > 1e-12 * max(1.0, abs(low)):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(n * z * rate(z, middle) for z, n in own.items()) < t else (low, middle)
+        for z, n in own.items():
+            copies = sum(r.copies for r in got if r.source == s and r.size == z)
+            assert abs(copies - n * rate(z, low)) <= 1 + 0.5 * max(own) / z + 1e-3 * n, (s, z, n, copies)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(make(spark, rows, n=5), block=20).collect()))
 
 
