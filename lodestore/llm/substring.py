@@ -324,7 +324,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, sieve: tu
 
 
 def _settle(index: FingerprintIndex, packed: DataFrame, keep: bool) -> DataFrame:
-    """``(doc_id, crc, at)``: the batch's windows that an earlier document has, by its
+    """``(doc_id, crc, pos)``: the batch's windows that an earlier document has, by its
     own, the history's and the verified runs' digests; with ``keep`` the batch's and the
     history's new digests become a verified run, and too many runs are merged.
 
@@ -335,7 +335,7 @@ def _settle(index: FingerprintIndex, packed: DataFrame, keep: bool) -> DataFrame
     name = f"verified-{uuid.uuid4().hex}"
     merge = keep and len(runs) + 1 > index.fan_out
     after = buckets * 2 if merge and index.digests > buckets * index.FULL else buckets
-    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("at", pa.list_(pa.int32())), ("written", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("pos", pa.int32()), ("written", pa.int64())])
 
     def settle(bucket: int, held: dict[int, list[np.ndarray]]) -> dict:
         store, at = fs.FileSystem.from_uri(folder)
@@ -362,15 +362,9 @@ def _settle(index: FingerprintIndex, packed: DataFrame, keep: bool) -> DataFrame
                     with store.open_output_stream(beside, compression=None) as out:
                         out.write(pack(some))
                     store.move(beside, f"{at}/{name}/{part}")
-        # A map chunk's own hits lie in their document's bucket: a row a document. The
-        # others are a row each, as a document's windows are dealt over all buckets.
-        whole = np.concatenate([np.empty(0, ENTRY), *held[HIT]])
-        whole = whole[np.lexsort((whole["crc"], whole["doc"]))]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(whole["doc"]) != 0) | (np.diff(whole["crc"]) != 0)])[: len(whole)])
-        rows, pos = np.concatenate([whole[first], found]), np.concatenate([whole["pos"], found["pos"]])
-        ends = np.concatenate([first, np.arange(len(whole), len(pos) + 1), [len(pos)]]).astype(np.int32)
-        at = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos, pa.int32()))
-        return {"doc_id": [*rows["doc"].tolist(), None], "crc": [*rows["crc"].tolist(), 0], "at": at, "written": [*[0] * len(rows), written]}
+        # A row a hit, whatever chunk or bucket found it, and one that tells what was written.
+        found = np.concatenate([*held[HIT], found])
+        return {"doc_id": [*found["doc"].tolist(), None], "crc": [*found["crc"].tolist(), 0], "pos": [*found["pos"].tolist(), 0], "written": [*[0] * len(found), written]}
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, held = None, {k: [] for k in range(4)}
@@ -388,18 +382,18 @@ def _settle(index: FingerprintIndex, packed: DataFrame, keep: bool) -> DataFrame
     if merge:  # every bucket takes part
         packed = packed.unionAll(spark.range(buckets).select(F.col("id").cast("int"), F.lit(NONE), F.lit(None).cast("binary")))
     dealt = packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
-    found = materialise(dealt.mapInArrow(arrow_pass(run, schema), "doc_id long, crc int, at array<int>, written long"), "hits")
+    found = materialise(dealt.mapInArrow(arrow_pass(run, schema), "doc_id long, crc int, pos int, written long"), "hits")
     if keep:
         written = found.agg(F.sum("written")).first()[0] or 0
         index.digests = written if merge else index.digests + written
         index.verified, index.slots = ([name] if merge else [*runs, name]), after
         for r in runs if merge else []:
             drop_path(spark, f"{folder}/{r}")
-    return found.where("doc_id is not null").select("doc_id", "crc", "at")
+    return found.where("doc_id is not null").select("doc_id", "crc", "pos")
 
 
 def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame | None, window: int = 13, keep: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, crc, at)``: the batch's windows that also start in a document with a
+    """``(doc_id, crc, pos)``: the batch's windows that also start in a document with a
     smaller identifier, of the batch or of those indexed before; the batch is indexed.
 
     ``history`` has the documents indexed before, of which only those are split into
@@ -448,7 +442,7 @@ def repeated_windows(docs: DataFrame, window: int = 13, batches: int = 3, index:
         own.drop()
     else:
         index.save()
-    return hits.groupBy("doc_id", "crc").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return hits.groupBy("doc_id", "crc").agg(F.collect_list("pos").alias("at"))
 
 
 def removed(n_words: int, at: np.ndarray, window: int) -> np.ndarray:
