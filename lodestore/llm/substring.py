@@ -204,7 +204,7 @@ ENTRY = np.dtype([("hash", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("crc", "<i
 #: One window of a verified run: its digest, and the smallest document that holds it.
 SEEN = np.dtype([("hash", "<u8"), ("check", "<u4"), ("doc", "<i8")])
 #: Entries that a map task gathers before it sends them.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def pack(entries: np.ndarray) -> bytes:
@@ -425,7 +425,7 @@ def repeated_windows(docs: DataFrame, window: int = 13, batches: int = 3, index:
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
-    own = index or FingerprintIndex(spark, fan_out=1, buckets=2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = index or FingerprintIndex(spark, fan_out=1)
     key: Column = F.col(f"`{id_col}`").cast("long")
     columns = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
     hits = None
