@@ -112,19 +112,17 @@ def covering_links(points: DataFrame, radius: int, parts: int = 1, bucket: int =
     return bucket_links(points.select("node", "fp", F.explode(rows).alias("e")).select("node", "fp", "e.t", "e.key"), radius, bucket=bucket)
 
 
-def bucket_links(entries: DataFrame, radius: int, wide_radius: int | None = None, bucket: int = 20_000) -> DataFrame:
+def bucket_links(entries: DataFrame, radius: int, bucket: int = 20_000) -> DataFrame:
     """Links ``(a, b)`` whose closure is that of all pairs that share a bucket
     ``(t, key)`` and are within ``radius``.
 
-    ``entries`` has ``node long``, ``fp long``, ``t int``, ``key long`` and with
-    ``wide_radius`` also ``wide binary``: two nodes are linked if their ``fp`` differ
-    in at most ``radius`` bits and their ``wide`` in at most ``wide_radius``. Each
+    ``entries`` has ``node long``, ``fp long``, ``t int`` and ``key long``: two nodes are
+    linked if their ``fp`` differ in at most ``radius`` bits. Each
     bucket gives a spanning forest of its links, never all its pairs. A bucket of
     over ``bucket`` points is split into blocks, and every pair of blocks is compared
     in a group of its own, so large buckets are exact too and no task holds more than
     two blocks.
     """
-    wide = wide_radius is not None
     counts = entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     large = materialise(counts.where(F.col("n") > bucket).select("t", "key", F.ceil(F.col("n") / bucket).cast("int").alias("blocks")), "buckets")
     if large.isEmpty():
@@ -136,9 +134,9 @@ def bucket_links(entries: DataFrame, radius: int, wide_radius: int | None = None
         dealt = dealt.withColumn("g", F.least("mine", "other") * 65536 + F.greatest("mine", "other")).drop("blocks", "other")
     dealt = dealt.repartition("t", "key", "g").sortWithinPartitions("t", "key", "g", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    limit, wide_limit = radius, wide_radius
+    limit = radius
 
-    def links(node: np.ndarray, fp: np.ndarray, far: np.ndarray | None, mark: np.ndarray) -> dict:
+    def links(node: np.ndarray, fp: np.ndarray, mark: np.ndarray) -> dict:
         """Of sorted rows whose bucket changes where ``mark`` does."""
         cut = np.flatnonzero(mark[1:] != mark[:-1]) + 1
         begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(mark)]])
@@ -146,20 +144,10 @@ def bucket_links(entries: DataFrame, radius: int, wide_radius: int | None = None
         two = begin[end - begin == 2]
         if two.size:
             ok = np.bitwise_count(fp[two] ^ fp[two + 1]) <= limit
-            if far is not None:
-                ok &= np.bitwise_count(far[two] ^ far[two + 1]).sum(axis=1) <= wide_limit
             keep.append((node[two[ok]], node[two[ok] + 1]))
         for s, e in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist()):
-            f, w = fp[s:e], None if far is None else far[s:e]
-
-            def close(at: int, left: np.ndarray) -> np.ndarray:
-                hit = np.bitwise_count(f[left] ^ f[at]) <= limit
-                if w is not None and hit.any():
-                    some = left[hit]
-                    hit[hit] = np.bitwise_count(w[some] ^ w[at]).sum(axis=1) <= wide_limit
-                return hit
-
-            _forest(node[s:e], f, close, keep)
+            f = fp[s:e]
+            _forest(node[s:e], f, lambda at, left, f=f: np.bitwise_count(f[left] ^ f[at]) <= limit, keep)
         a, b = (np.concatenate(x) for x in zip(*keep)) if keep else (np.empty(0, np.int64),) * 2
         return {"a": a, "b": b}
 
@@ -168,18 +156,16 @@ def bucket_links(entries: DataFrame, radius: int, wide_radius: int | None = None
         for batch in batches:
             now = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("node", "t", "key", "g")}
             now["fp"] = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
-            if wide:
-                now["wide"] = np.frombuffer(b"".join(batch["wide"].to_pylist()), np.uint64).reshape(len(now["fp"]), -1)
             if held is not None:
                 now = {k: np.concatenate([held[k], now[k]]) for k in now}
             change = (np.diff(now["t"]) != 0) | (now["key"][1:] != now["key"][:-1]) | (np.diff(now["g"]) != 0)
             at = np.flatnonzero(change)
             tail = int(at[-1]) + 1 if at.size else 0  # the last bucket may go on in the next batch
             if tail:
-                yield links(now["node"][:tail], now["fp"][:tail], now["wide"][:tail] if wide else None, np.concatenate([[0], np.cumsum(change)])[:tail])
+                yield links(now["node"][:tail], now["fp"][:tail], np.concatenate([[0], np.cumsum(change)])[:tail])
             held = {k: v[tail:] for k, v in now.items()}
         if held is not None and len(held["fp"]) > 1:
-            yield links(held["node"], held["fp"], held.get("wide"), np.zeros(len(held["fp"]), np.int8))
+            yield links(held["node"], held["fp"], np.zeros(len(held["fp"]), np.int8))
 
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     return dealt.mapInArrow(arrow_pass(run, schema), out)
@@ -205,34 +191,169 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, id_col: str =
     return marks.join(classes, marks.fp == classes.p).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bits of the wide fingerprint.
-WIDE = 256
+#: The long fingerprint: ``PARTS`` parts of ``PART`` bits, each with covering tables of
+#: radius ``NEAR`` (7 masks). Sets with similarity 0.8 agree on a mask of one part with a
+#: chance of 0.42 (4,000 drawn pairs), so on none of all with one of 0.58^40 = 3e-10
+#: (0.73^40 = 4e-6 for sets of 4 and 5, where more bits differ); more similar ones less.
+PARTS, PART, NEAR = 40, 24, 2
+#: Parts whose links are closed before the others look for links between the clusters.
+FIRST = 4
+#: Its leading 64-bit words that nominated texts are compared by.
+WORDS = 4
+_SALTS = np.arange(1, PARTS * PART // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_majority(hashes: np.ndarray) -> bytes:
-    """``WIDE`` bits, of four streams of mixed hashes."""
-    out = []
-    for salt in range(1, WIDE // 64 + 1):
-        x = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def long_majority(hashes: np.ndarray) -> bytes:
+    """The SimHash of ``PARTS * PART`` bits: those set in over half of the mixed hashes."""
+    ones = np.zeros(PARTS * PART, np.int64)
+    for i in range(0, len(hashes), 255):  # as many as a byte counts
+        x = hashes[i : i + 255, None] + _SALTS
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        out.append(majority(x ^ (x >> np.uint64(31))).to_bytes(8, "little"))
-    return b"".join(out)
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
+
+
+def _part_masks(part: int) -> list[np.ndarray]:
+    """The covering masks of a part, dealt to lists by the lowest bit of their number, so
+    that all masks of list j hold the positions whose vector is ``1 << j``."""
+    masks = covering_masks(list(range(PART)), NEAR, seed=7 + part)
+    return [np.array([masks[v - 1] for v in range(1, len(masks) + 1) if v & -v == 1 << j], np.int64) for j in range(NEAR + 1)]
+
+
+def _shared_bits(lists: list[np.ndarray], j: int) -> int:
+    """The positions whose vector is ``1 << j``."""
+    return int(np.bitwise_and.reduce(lists[j]) & ~np.bitwise_or.reduce([x[0] for i, x in enumerate(lists) if i != j]))
+
+
+def _distance(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row of four words."""
+    n = np.bitwise_count(x).view(np.uint32)[:, 0]
+    n = (n & np.uint32(0xFF00FF)) + (n >> np.uint32(8) & np.uint32(0xFF00FF))
+    return (n & np.uint32(0xFFFF)) + (n >> np.uint32(16))
+
+
+#: Texts of one mask's bucket up to which its pairs are compared all at once.
+PAIRS = 1024
+
+
+def _bucket_stars(masks: np.ndarray, node: np.ndarray, part: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges whose closure is that of all pairs of rows that agree on a mask of ``part``
+    and differ in at most ``LOOSE`` bits of ``words``: at most one edge a node. ``node``
+    is sorted; rows of one node are linked already."""
+    first = np.searchsorted(node, node)
+    label = first.copy()
+
+    def merge(found: list) -> None:
+        nonlocal label
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (label[:0],) * 2
+        found.clear()
+        while (apart := label[a] != label[b]).any():
+            a, b = a[apart], b[apart]
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            while ((up := label[label]) != label).any():
+                label = up
+
+    def close(at: int, left: np.ndarray) -> np.ndarray:
+        return _distance(words[left] ^ words[at]) <= LOOSE
+
+    for m in masks:
+        order = np.argsort(part & m, kind="stable")
+        key = (part & m)[order]
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+        found: list = []
+        for s, e in zip(begin[end - begin > PAIRS].tolist(), end[end - begin > PAIRS].tolist()):
+            rows = order[s:e]
+            _forest(rows, rows, lambda at, left, rows=rows: close(rows[at], rows[left]), found)
+        merge(found)
+        last = np.repeat(np.where(end - begin > PAIRS, begin, end), end - begin)  # none in large buckets
+        at, step, held = np.arange(len(key)), 1, 0
+        while (at := at[at + step < last[at]]).size:
+            a, b = order[at], order[at + step]
+            some = label[a] != label[b]
+            a, b = a[some], b[some]
+            hit = _distance(words[a] ^ words[b]) <= LOOSE
+            if hit.any():
+                found.append((a[hit], b[hit]))
+                held += len(found[-1][0])
+                if held > 1 << 16:
+                    merge(found)
+                    held = 0
+            step += 1
+        merge(found)
+    leaf = np.flatnonzero((first == np.arange(len(first))) & (label != first))
+    return node[leaf], node[label[leaf]]
+
+
+def nominations(points: DataFrame, parts: range = range(PARTS)) -> DataFrame:
+    """Links ``(a, b)`` whose closure is that of all pairs whose long fingerprints agree
+    on a covering mask of one of ``parts`` and differ in at most ``LOOSE`` of the leading bits.
+
+    ``points`` has ``node long`` and ``bits binary`` (of ``long_majority``); points of one
+    node count as linked. By the masks' covering, no pair within ``PARTS * (NEAR + 1) - 1``
+    bits lacks such a mask of all parts. The masks of a part are dealt to ``NEAR + 1`` lists, and a point goes
+    once to each list by the three or four bits that the list's masks share, so a task
+    holds 48 bytes of each point with these bits: up to a sixteenth or an eighth of
+    all points of unlike texts, and every point of one large cluster.
+    """
+    lists = {p: _part_masks(p) for p in parts}
+    names = [f"w{i}" for i in range(WORDS)]
+    schema = pa.schema([("e", pa.int64()), ("node", pa.int64()), *[(c, pa.int64()) for c in names]])
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def deal(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            node = b["node"].to_numpy(zero_copy_only=False)
+            raw = np.frombuffer(b"".join(b["bits"].to_pylist()), np.uint8).reshape(len(node), -1)
+            words = np.ascontiguousarray(raw[:, : 8 * WORDS]).view(np.int64)
+            for p, masks in lists.items():
+                part = raw[:, 3 * p].astype(np.int64) << 16 | raw[:, 3 * p + 1].astype(np.int64) << 8 | raw[:, 3 * p + 2]
+                for j in range(len(masks)):
+                    bucket = part & _shared_bits(masks, j) | (p * len(masks) + j) << PART
+                    yield {"e": bucket << PART | part, "node": node} | {c: words[:, i] for i, c in enumerate(names)}
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        held: list = []
 
-#: MinHash values of a band, and bands: two sets with similarity 0.8 share no band with
-#: a chance of (1 - 0.8^4)^32 = 5e-8, more similar ones with a smaller one.
-DEPTH, BANDS = 4, 32
-_FACTORS = np.random.default_rng(11).integers(0, 1 << 64, DEPTH * BANDS, np.uint64) | np.uint64(1)
-_MIX = np.random.default_rng(12).integers(0, 1 << 64, DEPTH, np.uint64) | np.uint64(1)
+        def stars() -> dict:
+            e, node, *words = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(node, kind="stable")  # so that the smallest node is a star's centre
+            p, j = divmod(int(e[0] >> 2 * PART), NEAR + 1)
+            a, b = _bucket_stars(lists[p][j], node[order], e[order] & ((1 << PART) - 1), np.stack(words, axis=1)[order].view(np.uint64))
+            return {"a": a, "b": b}
+
+        for batch in batches:
+            now = [batch[c].to_numpy(zero_copy_only=False) for c in ("e", "node", *names)]
+            bucket = now[0] >> PART
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for s, t in zip(cuts[:-1], cuts[1:]):
+                if held and held[-1][0][0] >> PART != bucket[s]:
+                    if sum(len(x[0]) for x in held) > 1:
+                        yield stars()
+                    held.clear()
+                held.append([x[s:t] for x in now])
+        if held and sum(len(x[0]) for x in held) > 1:
+            yield stars()
+
+    entries = points.select("node", "bits").mapInArrow(arrow_pass(deal, schema), "e long, node long, " + ", ".join(f"{c} long" for c in names))
+    dealt = entries.repartition(F.shiftright("e", PART)).sortWithinPartitions("e")
+    return dealt.mapInArrow(arrow_pass(run, pairs), "a long, b long")
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key a band: a mix of ``DEPTH`` MinHash values of the set of hashes."""
-    least = np.full(DEPTH * BANDS, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 256):
-        np.minimum(least, (hashes[i : i + 256, None] * _FACTORS).min(axis=0), out=least)
-    return (least.reshape(BANDS, DEPTH) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+def nominated(points: DataFrame) -> DataFrame:
+    """``(node, component)``: the closure of all parts' ``nominations``, of nodes that have
+    one. The first parts' clusters stand as one node each in the others, so that the many
+    buckets that a cluster's points share give no edge again."""
+    near = connected_components(nominations(points, range(FIRST)))
+    groups = near.select(F.col("node").alias("member"), "component")
+    named = points.join(groups, points.node == groups.member, "left").select(F.coalesce("component", points.node).alias("node"), "bits")
+    rest = nominations(named, range(FIRST, PARTS))
+    return connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(rest))
 
 
 def exact_links(texts: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -297,8 +418,8 @@ def _named(c: str) -> list:
     return [F.coalesce(c, F.lit(0)).alias("i"), F.col(c).isNull().alias("unnamed")]
 
 
-#: Bits of ``WIDE`` in which nominated texts may differ. Of sets with similarity 0.8,
-#: 39 differ on average, 48 at most of small ones (with 6 as standard deviation).
+#: Of the 256 leading bits, those in which nominated texts may differ. Of sets with
+#: similarity 0.8, 39 differ on average, 48 at most of small ones (with 6 as standard deviation).
 LOOSE = 80
 #: Shingles of a block of texts that are compared with one another.
 SHINGLES = 2_000_000
@@ -316,28 +437,26 @@ def _classes(docs: DataFrame, n: int, similarity: float, most: int, id_col: str,
     """``(h, check, component)`` of each distinct text, and of each component its first
     text: ``(component, least, h, check)``. See ``similar_groups``."""
     if similarity < 0.8:
-        raise ValueError("the bands miss pairs of a similarity below 0.8")
-    schema = pa.schema([("own", pa.int64()), ("h", pa.int64()), ("check", pa.int64()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64())])
+        raise ValueError("the tables miss pairs of a similarity below 0.8")
+    schema = pa.schema([("own", pa.int64()), ("h", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            wides, bands, sizes = [], [], []
+            bits, sizes = [], []
             for t in b["text"].cast(pa.binary()):
                 shingles = np.unique(shingle_hashes(t.as_py().lower().split(), n))
-                wides.append(wide_majority(shingles))
-                bands.append(band_keys(shingles))
+                bits.append(long_majority(shingles))
                 sizes.append(len(shingles))
-            yield {k: b[k] for k in ("own", "h", "check")} | {"wide": wides, "bands": bands, "size": sizes}
+            yield {k: b[k] for k in ("own", "h", "check")} | {"bits": bits, "size": sizes}
 
     texts = _hashed(docs, f"`{id_col}`", f"`{text_col}`")
-    marks = texts.mapInArrow(arrow_pass(run, schema), "own long, h long, check long, wide binary, bands array<long>, size long")
-    points = marks.groupBy("h", "check").agg(F.min("own").alias("least"), *[F.first(c).alias(c) for c in ("wide", "bands", "size")])
+    marks = texts.mapInArrow(arrow_pass(run, schema), "own long, h long, check long, bits binary, size long")
+    points = marks.groupBy("h", "check").agg(F.min("own").alias("least"), *[F.first(c).alias(c) for c in ("bits", "size")])
     # Written once, so the numbers stay as they are: a node of its own for each text.
     points = materialise(points.withColumn("node", F.monotonically_increasing_id()), "points")
-    entries = points.select("node", F.lit(0).cast("long").alias("fp"), "wide", F.posexplode("bands").alias("t", "key"))
-    clusters = connected_components(bucket_links(entries, 0, LOOSE)).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
+    clusters = nominated(points.select("node", "bits")).select(F.col("node").alias("member"), F.col("component").alias("cluster"))
     # Only a row that has a text's smallest identifier stands for it, so that copies meet nowhere.
-    members = materialise(clusters.join(points, F.col("member") == points.node).select("cluster", "node", "h", "check", "wide", "size", *_named("least")), "members")
+    members = materialise(clusters.join(points, F.col("member") == points.node).select("cluster", "node", "h", "check", F.substring("bits", 1, 8 * WORDS).alias("wide"), "size", *_named("least")), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / most).cast("int").alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1)))
     key = ["i", "unnamed", "h", "check"]
     found = texts.select("text", "h", "check", *_named("own")).join(members, key).dropDuplicates(key).join(blocks, "cluster")
@@ -354,13 +473,12 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, most: i
 
     Two texts are linked if the Jaccard similarity of their distinct ``n``-word
     shingles is at least ``similarity``, counted on the whole sets of 64-bit hashes
-    (texts without words are alike). To find such pairs, texts that share a band of
-    MinHash values and differ in at most ``LOOSE`` bits of a wide fingerprint are
-    chained to clusters, whose texts are then compared exactly; a cluster of over
+    (texts without words are alike). To find such pairs, texts have SimHash fingerprints
+    of ``PARTS * PART`` bits with covering tables for each part; those that share a
+    bucket and differ in at most ``LOOSE`` of the 256 leading bits are chained to
+    clusters, whose texts are then compared exactly; a cluster of over
     ``most`` shingles is split into blocks and every pair of blocks compared. The
-    bands are made for a ``similarity`` of 0.8 and more. Covering tables can't
-    nominate here: at 0.8 about 10 and up to 20 of 64 bits differ, and tables for so
-    many have keys of too few bits to tell texts apart.
+    tables are made for a ``similarity`` of 0.8 and more: see ``PARTS``.
 
     Null and empty texts are one text; invalid UTF-8 is replaced by U+FFFD; a long
     text's shingles are held by one task at a time; repeated rows are one text; null

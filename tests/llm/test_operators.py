@@ -611,6 +611,66 @@ def test_stage_links_by_exact_similarity(spark, most):
     assert {r.h: r.keeper for r in got} == nodes and len(got) == len(nodes)
 
 
+def test_stage_nominates_by_covering_tables(spark):
+    """All pairs that agree on a covering mask are joined, whatever the parts; no pair within
+    the covering radius lacks one, and pairs with similarity 0.8 have one."""
+    rng = np.random.default_rng(17)
+    draw = lambda k: rng.integers(0, 1 << 64, k, np.uint64)
+    sets = [draw(rng.integers(4, 60)) for _ in range(150)]
+    for base in sets[:50]:
+        sets += [np.concatenate([base[: len(base) - len(base) // 10], draw(len(base) // 10)]), np.concatenate([base, draw(len(base) // 4)])]
+    crowd = draw(60)
+    sets += [np.concatenate([crowd[:57], draw(3)]) for _ in range(60)]
+    bits = [simhash.long_majority(s) for s in sets]
+    x = [int.from_bytes(b, "big") for b in bits]
+    masks = [[int(m) << simhash.PART * (simhash.PARTS - 1 - p) for m in simhash.covering_masks(list(range(simhash.PART)), simhash.NEAR, seed=7 + p)] for p in range(simhash.PARTS)]
+    low = simhash.PARTS * simhash.PART - 64 * simhash.WORDS
+    group, linked = list(range(len(x))), {}
+    for b in range(len(x)):
+        for a in range(b):
+            d = x[a] ^ x[b]
+            shares = any(not d & m for part in masks for m in part)
+            assert shares or d.bit_count() > simhash.PARTS * (simhash.NEAR + 1) - 1
+            linked[a, b] = shares and (d >> low).bit_count() <= simhash.LOOSE
+    assert all(linked[i, 150 + 2 * i + k] for i in range(50) for k in (0, 1))
+    while any(group[a] != group[b] for (a, b), v in linked.items() if v):
+        for (a, b), v in linked.items():
+            if v:
+                group[a] = group[b] = min(group[a], group[b])
+    points = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bits)], "node long, bits binary")
+    got = {r.node: r.component for r in simhash.nominated(points).collect()}
+    assert [got.get(i, i) for i in range(len(x))] == group
+    assert simhash.nominated(points.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pairs", [1, 16, 1024])
+def test_bucket_stars_against_all_pairs(monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    rng = np.random.default_rng(18)
+    node = np.sort(rng.integers(0, 250, 300)) * 3
+    part = rng.integers(0, 8, 300)
+    words = rng.integers(0, 1 << 64, (40, 4), np.uint64)[rng.integers(0, 40, 300)]
+    words[::7] ^= np.uint64(0xFFFFFFFFFFFFFFFF)
+    words[::5, 0] ^= np.uint64(0xFFFF)
+    masks = np.array([6, 5])
+    a, b = simhash._bucket_stars(masks, node, part, words)
+    want, got = {n: n for n in node.tolist()}, {n: n for n in node.tolist()}
+
+    def join(group, x, y):
+        low, high = sorted((group[x], group[y]))
+        for n in group:
+            group[n] = low if group[n] == high else group[n]
+
+    for i in range(300):
+        for j in range(i):
+            near = sum(int(u ^ v).bit_count() for u, v in zip(words[i], words[j])) <= simhash.LOOSE
+            if near and any((part[i] ^ part[j]) & m == 0 for m in masks):
+                join(want, int(node[i]), int(node[j]))
+    for x, y in zip(a.tolist(), b.tolist()):
+        join(got, x, y)
+    assert got == want and len(a) < len(got)
+
+
 ODD = "SELECT 1L AS doc_id, cast(X'6120FF20622063206420652066' AS string) AS text, {more} UNION ALL SELECT 2L, cast(X'6120FF20622063206420652066' AS string), {more} UNION ALL SELECT 2L, cast(X'6120FF20622063206420652066' AS string), {more} UNION ALL SELECT 3L, repeat('long text of twenty megabytes ', 700000), {more} UNION ALL SELECT 4L, repeat('long text of twenty megabytes ', 700000), {more} UNION ALL SELECT 5L, 'something else', {more} UNION ALL SELECT cast(NULL AS bigint), 'something else', {more}"
 
 
